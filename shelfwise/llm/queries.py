@@ -4,7 +4,22 @@ from __future__ import annotations
 
 from .decontamination import OP8_SQL, op8_benchmark_decontamination
 from .line_dedup import op4_line_dedup
+from .ngram_join import op1_ngram_jaccard_join
+from .packing import op2_best_fit_packing
 from .quality_rules import OP7_SQL, op7_quality_rules
+from .url_filters import OP6_SQL, op6_url_filters
+from .warc import OP5_SQL, op5_warc
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op7_quality_rules, op8_benchmark_decontamination)}
-ORACLES = {"op7_quality_rules": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_best_fit_packing,
+        op4_line_dedup,
+        op5_warc,
+        op6_url_filters,
+        op7_quality_rules,
+        op8_benchmark_decontamination,
+    )
+}
+ORACLES = {"op5_warc": OP5_SQL, "op6_url_filters": OP6_SQL, "op7_quality_rules": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}
