@@ -7,6 +7,7 @@ from .line_dedup import op4_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .packing import op2_best_fit_packing
 from .quality_rules import OP7_SQL, op7_quality_rules
+from .suffix_dedup import op10_suffix_array_dedup
 from .url_filters import OP6_SQL, op6_url_filters
 from .warc import OP5_SQL, op5_warc
 
@@ -20,6 +21,7 @@ QUERIES = {
         op6_url_filters,
         op7_quality_rules,
         op8_benchmark_decontamination,
+        op10_suffix_array_dedup,
     )
 }
 ORACLES = {"op5_warc": OP5_SQL, "op6_url_filters": OP6_SQL, "op7_quality_rules": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}
