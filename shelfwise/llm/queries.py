@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP8_SQL, op8_benchmark_decontamination
+from .html_extraction import op9_html_extraction
 from .line_dedup import op4_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .packing import op2_best_fit_packing
@@ -21,6 +22,7 @@ QUERIES = {
         op6_url_filters,
         op7_quality_rules,
         op8_benchmark_decontamination,
+        op9_html_extraction,
         op10_suffix_array_dedup,
     )
 }
