@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import let, materialize, shared_dir, small
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS_PER_FILE = 5000
@@ -30,10 +30,11 @@ SCHEMA = "page_id bigint, url_key string, captured_at string, payload_bytes bigi
 
 
 def base32_sha1(payload: Column) -> Column:
-    hexed = F.sha1(payload)
-    fives = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substr(hexed, i * 5 + 1, F.lit(5)), 16, 10).cast("int"))
-    letters = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substr(F.lit(BASE32), F.pmod(F.get(fives, F.floor(i / 4).cast("int")) / F.pow(F.lit(2), 5 * (3 - i % 4)), F.lit(32)).cast("int") + 1, F.lit(1)))
-    return F.array_join(letters, "")
+    """Base 32 of the SHA-1, from its hexadecimal digits: five of them make four letters."""
+    five = lambda hexed, i: F.conv(F.substr(hexed, F.lit(i * 5 + 1), F.lit(5)), 16, 10).cast("int")
+    letter = lambda v, j: F.substr(F.lit(BASE32), F.shiftright(v, 15 - 5 * j).bitwiseAND(F.lit(31)) + 1, F.lit(1))
+    four = lambda hexed, i: let(five(hexed, i), lambda v: F.concat(*[letter(v, j) for j in range(4)]))
+    return let(F.sha1(payload), lambda hexed: F.concat(*[four(hexed, i) for i in range(8)]))
 
 
 def url_key(url: Column) -> Column:
@@ -47,7 +48,8 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     """(url_key, captured_at, page_id, value): the text of each page's record without the two line ends after it."""
     html = F.coalesce(pages["html"], F.lit(""))
     base = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), html.alias("html"), base32_sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).alias("size"))
-    first = base.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
+    several = base.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = small(materialize(several.select("digest", "first"), "payloads"))
     uri = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("about:blank")), "[\\x00-\\x1F\\x7F]", "%0A"), " ", "%20")
     when = F.concat(F.replace(F.expr("cast(timestampadd(SECOND, coalesce(page_id, 0), TIMESTAMP_NTZ'2024-01-01 00:00:00') as string)"), F.lit(" "), F.lit("T")), F.lit("Z"))
     again = F.col("first").isNotNull() & F.coalesce(F.col("page_id") != F.col("first"), F.lit(False) | F.col("page_id").isNull())
