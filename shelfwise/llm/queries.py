@@ -9,6 +9,7 @@ from .ngram_join import op1_ngram_jaccard_join
 from .packing import op2_best_fit_packing
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .suffix_dedup import op10_suffix_array_dedup
+from .toxicity import op3_toxicity
 from .url_filters import OP6_SQL, op6_url_filters
 from .warc import OP5_SQL, op5_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     for f in (
         op1_ngram_jaccard_join,
         op2_best_fit_packing,
+        op3_toxicity,
         op4_line_dedup,
         op5_warc,
         op6_url_filters,
