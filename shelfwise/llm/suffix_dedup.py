@@ -1,8 +1,8 @@
 """Removal of long repeated byte strings by suffix order and longest previous factors.
 
 Whole texts are UTF-8 bytes. Every string of `length` bytes holds an anchor: the position whose GRAM-byte hash is the
-least of the string. Equal strings have equal anchors, so repeats can only be found among anchors with an equal hash. An
-anchor's context is all bytes that a string around it can reach. Contexts that occur elsewhere as a whole are repeats
+first of its least. Equal strings have equal anchors, so repeats can only be found among anchors with an equal hash. The
+starts that share an anchor are stretches, and a stretch's context is all bytes of its strings. Contexts that occur elsewhere as a whole are repeats
 throughout; of the others with a shared anchor, and of one of each whole repeat to compare with, the contexts are sent to
 blocks, all contexts of an anchor hash to one block. A block is one text: its string starts are put in suffix order, in
 which equal strings are neighbours, and the longest-previous-factor array says for each start how far it repeats an
@@ -35,7 +35,9 @@ from .hashing import BASE, INVERSE, chunks, mix, powers
 
 LENGTH, GRAM = 400, 32
 #: Contexts of a block, and the most of one anchor hash.
-BLOCK, HOT = 3000, 20_000
+BLOCK, HOT = 1500, 8000
+#: The contexts to read are broadcast below this many (some 24 bytes each); beyond it texts are joined by shuffling.
+WANTED = 2_000_000
 FAR = np.uint64(2**64 - 1)
 
 
@@ -59,20 +61,43 @@ def gram_hashes(b: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * powers(INVERSE, len(b))[: len(b) - size + 1])
 
 
-def anchors(raw: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, position, hash) of the anchors of texts of `length` bytes or more."""
+def anchors(raw: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first and last string start, anchor position, anchor hash) of the stretches of starts with one anchor.
+
+    The anchor of a string is the first of its least GRAM hashes.
+    """
     size = np.array([len(r) for r in raw])
     first = np.concatenate([[0], np.cumsum(size)])
     h = gram_hashes(np.frombuffer(b"".join(raw), np.uint8), GRAM)
-    of = np.repeat(np.arange(len(raw)), size)[: len(h)]
-    h = np.where(np.arange(len(h)) + GRAM <= first[of + 1], h, FAR)
     w = length - GRAM + 1
     low = _sliding(h, w, np.minimum, FAR)
+    of = np.repeat(np.arange(len(raw)), np.maximum(size - length + 1, 0))
+    if not len(of):
+        return (of,) * 4 + (np.zeros(0, np.uint64),)
+    begin = np.cumsum(np.maximum(size - length + 1, 0)) - np.maximum(size - length + 1, 0)
+    start = np.arange(len(of)) - begin[of] + first[of]
+    least = low[start]
+    new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (start[1:] != start[:-1] + 1)]))
+    lo, hi, value, of = start[new], start[np.append(new[1:], len(start)) - 1], least[new], of[new]
+    # where each least hash stands: the first place at or behind the start, found among the places sorted by hash
     edge = np.zeros(w - 1, np.uint64)
-    high = _sliding(np.concatenate([edge, low, edge]), w, np.maximum, np.uint64(0))
-    at = np.flatnonzero((h <= high) & (h != FAR)) if len(low) else np.zeros(0, np.int64)
-    at = at[size[of[at]] >= length]
-    return of[at], at - first[of[at]], h[at]
+    at = np.flatnonzero(h <= _sliding(np.concatenate([edge, low, edge]), w, np.maximum, np.uint64(0)))
+    names, rank = np.unique(h[at], return_inverse=True)
+    places = np.sort(rank * len(h) + at)
+    find = lambda v, s: places[np.searchsorted(places, np.searchsorted(names, v) * len(h) + s)] % len(h)
+    own = find(value, lo)
+    tied = own < hi
+    if tied.any():  # the same hash again further on: from each place on, the next one is the anchor
+        n = (hi - lo + 1)[tied]
+        each = np.repeat(np.flatnonzero(tied), n)
+        s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[each]
+        p = find(value[each], s)
+        cut = np.flatnonzero(np.concatenate([[True], (each[1:] != each[:-1]) | (p[1:] != p[:-1])]))
+        ends = np.append(cut[1:], len(s)) - 1
+        keep = ~tied
+        lo, hi, own = (np.concatenate([x[keep], y]) for x, y in ((lo, s[cut]), (hi, s[ends]), (own, p[cut])))
+        value, of = np.concatenate([value[keep], value[each[cut]]]), np.concatenate([of[keep], of[each[cut]]])
+    return of, lo - first[of], hi - first[of], own - first[of], value
 
 
 def window_names(context: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,33 +150,27 @@ def stretches(of: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarra
 
 
 def _anchor_rows(length: int):
-    reach = length - GRAM
-
     def scan(batches):
         for pdf in batches:
             texts = pdf["text"].tolist()
             for lo, hi in chunks(texts):
                 raw = [t.encode("utf-8", "replace") for t in texts[lo:hi]]
-                of, at, h = anchors(raw, length)
-                a = np.maximum(at - reach, 0).tolist()
-                whole = [hashlib.blake2b(raw[i][x : p + length], digest_size=8, salt=str(p - x).encode()).digest() for i, p, x in zip(of.tolist(), at.tolist(), a)]
-                yield pd.DataFrame({"tid": pdf["tid"].to_numpy()[lo:hi][of], "at": at.astype(np.int32), "b": np.minimum(at + length, np.array([len(r) for r in raw])[of]).astype(np.int32), "h": h.view(np.int64), "ctx": np.frombuffer(b"".join(whole), np.int64)})
+                of, a, last, at, h = anchors(raw, length)
+                b = last + length
+                whole = [hashlib.blake2b(raw[i][x:y], digest_size=8, salt=str(p - x).encode()).digest() for i, x, y, p in zip(of.tolist(), a.tolist(), b.tolist(), at.tolist())]
+                yield pd.DataFrame({"tid": pdf["tid"].to_numpy()[lo:hi][of], "a": a.astype(np.int32), "b": b.astype(np.int32), "h": h.view(np.int64), "ctx": np.frombuffer(b"".join(whole), np.int64)})
 
     return scan
 
 
-def _context_rows(length: int):
-    reach = length - GRAM
-
+def _context_rows():
     def cut(batches):
         for pdf in batches:
             out = []
             for tid, text, want in zip(pdf["tid"], pdf["text"], pdf["want"]):
                 raw = text.encode("utf-8", "replace")
                 for w in want:
-                    p = w["at"]
-                    lo = max(0, p - reach)
-                    out.append((w["block"], tid, lo, w["twice"], raw[lo : p + length]))
+                    out.append((w["block"], tid, w["a"], w["twice"], raw[w["a"] : w["b"]]))
                     if len(out) == 2000:
                         yield pd.DataFrame(out, columns=["block", "tid", "lo", "twice", "bytes"])
                         out = []
@@ -204,34 +223,36 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, keep: str = "none") ->
     if keep not in ("none", "first"):
         raise ValueError(keep)
     text = F.coalesce(docs["text"], F.lit(""))
-    texts = docs.select(F.xxhash64(text).alias("tid"), text.alias("text")).where(F.octet_length("text") >= length)
-    found = materialize(texts.mapInPandas(_anchor_rows(length), "tid bigint, at int, b int, h bigint, ctx bigint"), "anchors")
-    who = F.xxhash64("tid", "at")
-    same = found.groupBy("h", "ctx").agg(F.min(who).alias("least"), F.max(who).alias("most"))
-    same = materialize(same.select("h", "ctx", "least", (F.col("least") != F.col("most")).alias("twice")), "contexts")
-    several = same.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    reach = length - GRAM
-
-    # whole repeats: every string around the anchor occurs elsewhere
-    twice = same.where("twice").select("h", "ctx", "least")
-    whole = found.join(twice, ["h", "ctx"])
+    texts = docs.select(F.xxhash64(text).alias("tid"), docs["doc_id"].alias("doc_id"), text.alias("text")).where(F.octet_length("text") >= length)
+    found = materialize(texts.select("tid", "text").mapInPandas(_anchor_rows(length), "tid bigint, a int, b int, h bigint, ctx bigint"), "anchors")
+    who = F.xxhash64("tid", "a")
+    same = found.groupBy("h", "ctx").agg(F.min(who).alias("least"), F.max(who).alias("most"), *[F.min(c).alias(c) for c in ("tid", "a", "b")])
+    same = materialize(same.withColumn("twice", F.col("least") != F.col("most")).drop("most"), "contexts")
+
+    # whole repeats: every string of the stretch occurs elsewhere
+    twice = small(same.where("twice").select("h", "ctx", "least"))
+    repeats = materialize(found.join(twice, ["h", "ctx"]), "repeats")
+    whole = repeats
     if keep == "first":
-        order = F.struct("tid", "at")
-        first = whole.groupBy("h", "ctx").agg(F.min(order).alias("first"))
-        whole = whole.join(first, ["h", "ctx"]).where(order != F.col("first"))
-    runs = whole.select("tid", F.greatest(F.lit(0), F.col("at") - reach).alias("a"), "b").distinct()
-
-    # one of each context of an anchor hash that has several
-    mixed = materialize(same.join(several, "h"), "mixed")
-    chosen = found.join(mixed, ["h", "ctx"]).where(who == F.col("least")).select("tid", "at", "h", "n", "twice").distinct()
-    chosen = materialize(chosen, "chosen")
+        order = F.struct("tid", "a")
+        first = repeats.groupBy("h", "ctx").agg(F.min(order).alias("first"))
+        whole = repeats.join(first, ["h", "ctx"]).where(order != F.col("first"))
+    runs = whole.select("tid", "a", "b").distinct()
+
+    # one of each different context of an anchor hash that has several
+    one = repeats.where(who == F.col("least")).select("tid", "a", "b", "h", F.lit(True).alias("twice")).distinct()
+    each = same.where("not twice").select("tid", "a", "b", "h", "twice").unionByName(one).repartition("h")
+    several = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    chosen = materialize(each.join(several, "h"), "chosen")
     total = chosen.count()
     blocks = max(1, -(-total // BLOCK))
     block = F.when(F.col("n") > HOT, F.lit(None)).when(F.col("n") > BLOCK, F.xxhash64("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(blocks)))
-    wants = chosen.select("tid", F.struct("at", block.alias("block"), "twice").alias("w")).groupBy("tid").agg(F.collect_list("w").alias("want"))
-    wants = small(wants, total)
-    kept = texts.join(wants, "tid").dropDuplicates(["tid"])
-    cut = kept.mapInPandas(_context_rows(length), "block bigint, tid bigint, lo int, twice boolean, bytes binary")
+    wants = chosen.select("tid", F.struct("a", "b", block.alias("block"), "twice").alias("w")).groupBy("tid").agg(F.collect_list("w").alias("want"))
+    # of equal texts the row of the least doc_id is read; if that repeats, its contexts come twice and count as one place
+    rows = texts.groupBy("tid").agg(F.min("doc_id").alias("doc_id"))
+    wants = small(materialize(wants.join(rows, "tid"), "wants"), total, WANTED)
+    kept = texts.join(wants, (texts["tid"] == wants["tid"]) & texts["doc_id"].eqNullSafe(wants["doc_id"])).select(texts["tid"], "text", "want")
+    cut = kept.mapInPandas(_context_rows(), "block bigint, tid bigint, lo int, twice boolean, bytes binary")
     if not chosen.where(F.col("n") > HOT).isEmpty():
         cut = materialize(cut, "cut")
         named = cut.where("block is null").mapInPandas(_named(length), "name bigint, tid bigint, a int").distinct()
