@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators import catalog, history, reconcile, reviews  # noqa: F401
+from ..functions import text  # noqa: F401
+from ..operators import catalog, history, reconcile, resolve, reviews  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
