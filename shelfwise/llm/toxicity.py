@@ -71,15 +71,21 @@ def window_scores(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (four + two[4 : 4 + len(four)])[:n] if len(two) >= 4 + len(four) else (four[: len(two) - 4] + two[4:])[:n]
 
 
+#: Four letters or more that stand by themselves, one or two other characters apart.
+SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][\W_]{1,2}){3,}[^\W\d_](?![^\W\d_])")
+
+
 def margins(texts: list[str], table: np.ndarray, size: int = 1 << 18) -> np.ndarray:
-    """Each text's highest window score; 0 where nothing scores higher."""
+    """Each text's highest window score, words spelled letter by letter read as words too; 0 where nothing scores higher."""
     out = np.zeros(len(texts))
     lo = held = 0
     for hi in range(1, len(texts) + 1):
         held += len(texts[hi - 1])
         if held < size and hi < len(texts):
             continue
-        codes, first = encode(texts[lo:hi])
+        part = texts[lo:hi]
+        spelled = ["  ".join(re.sub(r"[\W_]", "", m) for m in SPELLED.findall(t)) for t in part]
+        codes, first = encode([f"{t}{' ' * WINDOW}{s}" if s else t for t, s in zip(part, spelled)])
         out[lo:hi] = np.maximum(np.maximum.reduceat(window_scores(codes, table), first), 0)
         lo, held = hi, 0
     return out
@@ -193,6 +199,17 @@ def typical_pieces(toxic: list[str], clean: list[str], most: int = 256) -> tuple
     return first, [other[i] for i in np.random.default_rng(7).permutation(len(other))[:8000]]
 
 
+def whole_words(toxic: list[str], chosen: list[str]) -> list[str]:
+    """For each piece the word of toxic sentences that holds it most often."""
+    count = Counter(w for s in toxic for w in set(re.findall(r"[^\W_]{3,}", s.lower())))
+    best: dict[str, tuple[int, str]] = {}
+    for w, n in count.items():
+        for p in chosen:
+            if p in w and len(w) <= WINDOW:
+                best[p] = max(best.get(p, (0, "")), (n, w))
+    return [best[p][1] for p in chosen if p in best]
+
+
 def spread(word: str) -> list[str]:
     """A word with one inserted character, and with one between all letters."""
     half = len(word) // 2
@@ -204,10 +221,11 @@ def train(toxic: list[str], clean: list[str]) -> Machine | None:
     typical, plain = typical_pieces(toxic, clean)
     if not typical or not plain:
         return None
-    most = 2 * LANDMARKS // 3
-    machine = Machine(typical[:most] + plain[: LANDMARKS - min(most, len(typical))])
+    most = LANDMARKS // 3
     chosen = typical[:most]
-    given = word_windows(chosen + [v for w in chosen for v in spread(w)])
+    marks = list(dict.fromkeys(chosen + whole_words(toxic, chosen)))
+    machine = Machine(marks + plain[: LANDMARKS - len(marks)])
+    given = word_windows(marks + [v for w in marks for v in spread(w)])
     bad, good = np.concatenate([given, _around(toxic, chosen)]), word_windows(plain[:3000])
     codes, first = encode(toxic)
     codes_clean, first_clean = encode(clean)
