@@ -51,7 +51,7 @@ def found(docs: DataFrame, items: DataFrame, least: float = SIMILAR) -> DataFram
     n_flat = flat.count()
     seen = docs.select(row_key(docs["doc_id"], docs["text"]).alias("rk"), F.explode(sketch(shingles(docs["text"]))).alias("h"))
     hits = seen.join(small(flat, n_flat), "h").groupBy("rk", "item_id", "n_item").agg(F.count_distinct("h").alias("n"))
-    near = materialize(hits.where(F.col("n") >= F.greatest(F.lit(1.0), SEEN * F.col("n_item"))).select("rk", "item_id"), "near")
+    near = materialize(hits.where(F.col("n") >= F.greatest(F.lit(1), F.floor(SEEN * F.col("n_item")))).select("rk", "item_id"), "near")
     whole = small(near.select("rk").distinct())
     text = docs.select(row_key(docs["doc_id"], docs["text"]).alias("rk"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     held = text.join(whole, "rk").dropDuplicates(["rk"]).select("rk", "doc_id", F.explode(shingles(F.col("text"))).alias("h"))
