@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions import text  # noqa: F401
-from ..operators import catalog, history, reconcile, resolve, reviews  # noqa: F401
+from ..functions import scalars, text  # noqa: F401
+from ..operators import catalog, history, match, projections, reconcile, resolve, reviews  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
