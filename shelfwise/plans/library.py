@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ..functions import scalars, text  # noqa: F401
-from ..operators import catalog, history, match, projections, reconcile, resolve, reviews  # noqa: F401
+from ..operators import catalog, extract, history, match, projections, reconcile, resolve, reviews  # noqa: F401
+from ..sources import pages  # noqa: F401
+from ..streaming import decisions  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
