@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.functions import scalars, text
-from shelfwise.operators import catalog, extract, match, projections, reconcile, resolve, reviews
+from shelfwise.operators import catalog, extract, match, products, projections, reconcile, resolve, reviews
 from shelfwise.streaming import decisions
 
 ITEMS = "id bigint, name string, brand_name string, score int, category_id bigint, category_name string, brand_id bigint, is_brazilian boolean, ord bigint"
@@ -168,3 +168,28 @@ def test_polls_over_a_stream(spark, tmp_path):
         decisions.start(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
     news = [sorted((r.uid, r.scan_id) for r in spark.read.parquet(str(tmp_path / "out" / "news" / str(k))).collect()) for k in range(4)]
     assert news == [[], [(1, 2)], [], [(1, 1)]]
+
+
+def fronts(spark, brands, seen, listed, brand="REXONA"):
+    front = spark.createDataFrame([("s", brands, seen)], "scan_id string, brand_candidates array<string>, product_candidates array<string>")
+    items = spark.createDataFrame([(i, n, brand, o) for o, (i, n) in enumerate(listed)], "id bigint, name string, brand_name string, ord bigint")
+    return products.resolved(front, items).first()
+
+
+def test_product_resolution(spark):
+    r = fronts(spark, ["REXONA"], ["ANTITRANSPIRANTE", "ORIGINAL", "150 ML"], [(8, "Rexona Invisible 150 ML"), (7, "Rexona Original 150 ML")])
+    assert (r.status, r.id) == ("RESOLVED", 7)
+    r = fronts(spark, ["REXONA"], ["CLINICAL"], [(11, "Rexona Clinical"), (12, "Rexona Clinical")])
+    assert (r.status, r.id, r.gap) == ("AMBIGUOUS", None, 0.0)
+    r = fronts(spark, ["REX0NA"], ["CLINICAL", "CLEAN", "MEN", "ANTITRANSPIRANTE", "58 G"], [(108, "Rexona Clinical Clean"), (109, "Rexona Clinical Clean Men")])
+    assert (r.status, r.id) == ("RESOLVED", 109)
+    r = fronts(spark, ["REXONA"], ["INVISIBLE", "MEN", "AEROSOL", "150 ML"], [(201, "Rexona Men Original 150 ML"), (202, "Rexona Men Invisible 150 ML")])
+    assert (r.status, r.id) == ("RESOLVED", 202)
+    assert fronts(spark, [], [], [(1, "Rexona")]).status == "NO_MATCH"
+    assert fronts(spark, ["ZZZZZZ"], ["QQQQQQ"], [(1, "Rexona Clean")]).status == "NO_MATCH"
+
+
+def test_folds_keep_an_earlier_best_as_second(spark):
+    rows = F.array(*[F.struct(F.lit(b).alias("brand"), F.lit("c").alias("cand"), F.lit(s).alias("score")) for b, s in (("X", 0.9), ("X", 0.95), ("Y", 0.85))])
+    m = one(spark, products.best_brand(rows))
+    assert (m.brand, m.score, m.second) == ("X", 0.95, 0.9)

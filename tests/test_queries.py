@@ -43,5 +43,9 @@ def test_against_sql(spark, duck, name):
     assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
 
 
-def test_every_query_has_sql():
-    assert set(library.QUERIES) == set(library.ORACLES)
+#: Folds in the order of lists, which tests/test_operators.py holds against examples.
+WITHOUT_SQL = {"fuzzy_brand", "fuzzy_product", "resolve_product", "fn_product_evidence"}
+
+
+def test_every_other_query_has_sql():
+    assert set(library.QUERIES) - WITHOUT_SQL == set(library.ORACLES)
