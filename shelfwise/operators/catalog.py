@@ -191,3 +191,16 @@ SELECT section, coalesce(title, '') AS title, n, row_number() OVER (PARTITION BY
 )
 def agg_sections(spark, sf_dir):
     return sections(catalog(spark, sf_dir))
+
+
+@query(b.ctes(*b.CATALOG) + "SELECT id, name FROM catalog WHERE brand_name IN (SELECT 'Brand#' || n_nationkey FROM nation WHERE n_nationkey % 6 = 1)")
+def semi_brand_products(spark, sf_dir):
+    """The products of matched brands only."""
+    matched = b.table(spark, sf_dir, "nation").where("n_nationkey % 6 = 1").select(F.concat(F.lit("Brand#"), F.col("n_nationkey").cast("string")).alias("brand_name"))
+    return catalog(spark, sf_dir).join(matched, "brand_name", "left_semi").select("id", "name")
+
+
+@query(b.ctes(*b.CATALOG) + "SELECT id, name, score FROM catalog WHERE brand_id IN (1, 2, 3, 4, 5) AND score >= 40 AND contains(lower(name), 'ate')")
+def str_recompute(spark, sf_dir):
+    """Filter and search over the latest catalogue: a view that is read again after each change."""
+    return searched(filtered(catalog(spark, sf_dir), brands=(1, 2, 3, 4, 5), bands=("BOA", "MEDIA")), "ate").where("name like '%ate%'").select("id", "name", "score")

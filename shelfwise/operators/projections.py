@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import filled, instant
 from ..plans.registry import query
@@ -206,3 +207,50 @@ def src_rest_by_key(spark, sf_dir):
     """Lookups one by one become one grouped read."""
     v = b.version(spark, sf_dir)
     return v.groupBy("product_id").agg(F.count("*").alias("versions"), F.count_if("is_current").alias("current"), F.count_if(F.col("is_current").isNull()).alias("unknown"))
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem)
+SELECT l_orderkey AS version_id, CASE WHEN l_orderkey % 3 = 0 THEN 'e' || l_orderkey ELSE string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) END AS ids FROM l GROUP BY l_orderkey"""
+)
+def join_composition_embedded(spark, sf_dir):
+    """The list that a document carries, or else the linked one."""
+    li = b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
+    linked = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string"))
+    g = li.groupBy(F.col("l_orderkey").alias("version_id")).agg(linked.alias("linked"))
+    own = F.when(F.col("version_id") % 3 == 0, F.array(F.concat(F.lit("e"), F.col("version_id").cast("string"))))
+    return g.select("version_id", F.array_join(F.coalesce(own, F.col("linked")), ",").alias("ids"))
+
+
+@query("SELECT DISTINCT l_orderkey, l_partkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_linenumber = 2 THEN NULL ELSE l_linenumber END ASC NULLS LAST, l_partkey)::INT AS pos FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem)")
+def sort_composition(spark, sf_dir):
+    """Links of a version by position, those without one last, in list order within."""
+    li = b.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
+    w = Window.partitionBy("l_orderkey").orderBy(F.when(F.col("l_linenumber") != 2, F.col("l_linenumber")).asc_nulls_last(), "l_partkey")
+    return li.select("l_orderkey", "l_partkey", F.dense_rank().over(w).alias("pos")).distinct()
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'p' || user_id ELSE '' END AS name, CASE WHEN event_id % 2 = 0 THEN 'SYNCED' ELSE '' END AS status FROM events")
+def prj_scan_history(spark, sf_dir):
+    """Nested sessions as flat rows: the first filled of several names."""
+    e = b.table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    nested = F.struct(
+        F.struct(F.when(k % 3 == 0, F.col("event_type")).otherwise(" ").alias("name")).alias("front"),
+        F.when(k % 3 == 1, F.struct(F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("name"))).alias("product"),
+        F.when(k % 2 == 0, " SYNCED ").alias("status"),
+    )
+    s = e.select("event_id", nested.alias("s"))
+    return s.select("event_id", F.coalesce(filled(F.col("s.front.name"), F.col("s.product.name")), F.lit("")).alias("name"), F.coalesce(filled(F.col("s.status")), F.lit("")).alias("status"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN '2 1234' WHEN n_nationkey % 4 = 1 THEN '2.12345-6' ELSE '' END AS registration FROM nation")
+def ext_registration(spark, sf_dir):
+    """Registration numbers on a marked line, or else on the line below."""
+    k = F.col("n_nationkey") % 4
+    lines = F.when(k == 0, F.array(F.lit("REG MS 2 1234"), F.col("n_name"))).when(k == 1, F.array(F.lit("REG. MS"), F.lit("2.12345-6"))).otherwise(F.array(F.lit("2.12345-6"), F.col("n_name")))
+    value = "(?<![A-Z0-9])((?:2\\s*\\d{3,7}|\\d{1,3}\\.\\d{3,7}(?:-\\d{1,4})?))(?![A-Z0-9])"
+    marked = lambda x: x.rlike("\\bREG\\b")
+    here = F.flatten(F.transform(F.filter(lines, marked), lambda x: F.regexp_extract_all(x, F.lit(value), 1)))
+    below = F.flatten(F.transform(F.filter(lines, lambda x, i: (i > 0) & F.coalesce(marked(F.get(lines, i - 1)), F.lit(False))), lambda x: F.regexp_extract_all(x, F.lit(value), 1)))
+    return b.table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.array_distinct(F.when(F.size(here) > 0, here).otherwise(below)), " | ").alias("registration"))

@@ -231,3 +231,14 @@ def fn_packaging_tail(spark, sf_dir):
     c = b.table(spark, sf_dir, "customer")
     k = F.concat(F.substr(F.upper("c_mktsegment"), F.lit(1), (F.col("c_custkey") % 7).cast("int")), F.lit(" "), F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string"))
     return c.select("c_custkey", packaging_tail(k).alias("tail"))
+
+
+@query(_RESOLVE + "SELECT key, array_to_string(list(id ORDER BY pos), ',') AS ids FROM rk WHERE pos <= 3 AND score > CASE WHEN length(key) <= 7 THEN 0.92::DOUBLE ELSE 0.84::DOUBLE END - 0.05::DOUBLE AND key IN (SELECT key FROM fz WHERE close) GROUP BY key")
+def topk_fuzzy_ids(spark, sf_dir):
+    """Up to three candidates of names whose best two are too close."""
+    index = index_of(*snapshot(spark))
+    keys = scan_names(spark, sf_dir).select(norm_ingredient_key(F.col("raw")).alias("key")).distinct().where(~administrative(F.col("key")))
+    rest = keys.join(index.select("key").distinct(), "key", "left_anti")
+    fixed = corrected(rest).where("fixed != key")
+    solved = fixed.join(index.select(F.col("key").alias("fixed")).distinct(), "fixed", "left_semi").select("key")
+    return fuzzy(rest.join(solved, "key", "left_anti"), index).where("close").select("key", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
