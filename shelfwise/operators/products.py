@@ -134,23 +134,28 @@ def brands_of(fronts: DataFrame, items: DataFrame) -> DataFrame:
 def scored(fronts: DataFrame, items: DataFrame, brands: DataFrame) -> DataFrame:
     """(scan_id, brand.., id, ord, score, strong, exact) of the products with any evidence.
 
-    A product has evidence only if a word seen nearly equals a word of its name, so products meet scans by such pairs of
-    words; with a brand only its products count.
+    A product has evidence only if a word seen nearly equals a word of its name, so names meet candidates by such pairs
+    of words; with a brand only its products count. Each different list of candidates is weighed once with each
+    different name, and the outcome joined to all scans and products that have them.
     """
     asked = fronts.select("scan_id", "products").join(brands.select("scan_id", "brand"), "scan_id", "left")
     clean = F.array_distinct(F.filter(F.transform("products", lambda p: strip_brand(p, F.coalesce("brand", F.lit("")))), lambda p: p != ""))
-    asked = asked.select("scan_id", "brand", clean.alias("cands")).where(F.size(strong_terms(F.col("cands"))) > 0)
+    asked = asked.select("scan_id", "brand", clean.alias("cands")).where(F.size(strong_terms(F.col("cands"))) > 0).withColumn("cid", F.xxhash64("brand", "cands"))
+    sets = asked.select("cid", "brand", "cands").distinct()
     named = items.select("id", "ord", norm_field(F.col("brand_name")).alias("own"), norm_field(F.col("name")).alias("full")).where("full != ''")
-    seen = asked.select("scan_id", F.explode(F.array_distinct(F.flatten(F.transform("cands", tokens)))).alias("o"))
-    words = named.select("id", F.explode(F.array_union(tokens(F.col("full")), tokens(strip_brand(F.col("full"), F.col("own"))))).alias("t"))
+    names = named.select("own", "full").distinct()
+    seen = sets.select("cid", F.explode(F.array_distinct(F.flatten(F.transform("cands", tokens)))).alias("o"))
+    words = names.select("own", "full", F.explode(F.array_union(tokens(F.col("full")), tokens(strip_brand(F.col("full"), F.col("own"))))).alias("t"))
     near = seen.select("o").distinct().join(words.select("t").distinct(), F.lit(True)).withColumn("s", ocr_similarity(F.col("o"), F.col("t"))).where(F.col("s") >= TOKEN)
     alike = seen.join(near, "o")
-    known = alike.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("o", F.lit("|"), "t"), "s"))).alias("known"))
-    met = alike.select("scan_id", "t").distinct().join(words, "t").select("scan_id", "id").distinct()
-    pairs = met.join(asked, "scan_id").join(named, "id").where(F.col("brand").isNull() | (F.col("own") == F.col("brand")))
-    pairs = pairs.join(known, "scan_id").withColumn("name", strip_brand(F.col("full"), F.coalesce("brand", F.lit(""))))
+    known = alike.groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("o", F.lit("|"), "t"), "s"))).alias("known"))
+    met = alike.select("cid", "t").distinct().join(words, "t").select("cid", "own", "full").distinct()
+    pairs = met.join(sets, "cid").where(F.col("brand").isNull() | (F.col("own") == F.col("brand")))
+    pairs = pairs.join(known, "cid").withColumn("name", strip_brand(F.col("full"), F.coalesce("brand", F.lit(""))))
     like = lambda x, y: F.coalesce(F.try_element_at("known", F.concat(x, F.lit("|"), y)), F.lit(0.0))
-    return pairs.withColumn("e", evidence(F.col("cands"), F.col("name"), like)).where("e.score > 0").select("scan_id", "id", "ord", "e.score", "e.strong", "e.exact")
+    found = pairs.select("cid", "own", "full", evidence(F.col("cands"), F.col("name"), like).alias("e")).where("e.score > 0")
+    out = asked.select("scan_id", "cid").join(found, "cid").join(named, ["own", "full"])
+    return out.select("scan_id", "id", "ord", "e.score", "e.strong", "e.exact")
 
 
 def resolved(fronts: DataFrame, items: DataFrame) -> DataFrame:
