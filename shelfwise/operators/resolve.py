@@ -242,3 +242,47 @@ def topk_fuzzy_ids(spark, sf_dir):
     fixed = corrected(rest).where("fixed != key")
     solved = fixed.join(index.select(F.col("key").alias("fixed")).distinct(), "fixed", "left_semi").select("key")
     return fuzzy(rest.join(solved, "key", "left_anti"), index).where("close").select("key", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+def report_error(matches: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(scan_id, error): the first rule that a scan's report breaks against its candidates, null if none.
+
+    `matches`: scan_id, position, raw, key, resolution, id; `candidates`: scan_id, position, raw, fixed.
+    """
+    m = matches.withColumn("n", F.count("*").over(Window.partitionBy("scan_id", "position")))
+    both = m.join(candidates.toDF("scan_id", "position", "c_raw", "c_fixed"), ["scan_id", "position"], "full_outer")
+    own = F.col("raw").isNotNull()
+    misplaced = own & (F.col("c_raw").isNull() | (F.col("position") <= 0) | (F.col("n") > 1))
+    keys = F.array(norm_ingredient_key(F.col("c_raw")), norm_ingredient_key(F.col("c_fixed")))
+    evidence = own & F.col("c_raw").isNotNull() & ((F.trim("raw") == "") | (F.col("raw") != F.col("c_raw")) | (F.col("key") == "") | ~F.array_contains(keys, F.col("key")))
+    wrong = own & (F.col("resolution") == "RESOLVED") & F.coalesce(F.col("id") <= 0, F.lit(True))
+    loose = own & (F.col("resolution") != "RESOLVED") & F.col("id").isNotNull()
+    counts = candidates.groupBy("scan_id").agg(F.count("*").alias("b")).join(matches.groupBy("scan_id").agg(F.count("*").alias("a")), "scan_id", "full_outer").na.fill(0, ["a", "b"])
+    g = both.groupBy("scan_id").agg(
+        *[F.bool_or(F.coalesce(c, F.lit(False))).alias(n) for n, c in (("misplaced", misplaced), ("evidence", evidence), ("wrong", wrong), ("loose", loose))],
+    ).join(counts, "scan_id")
+    error = F.when(F.col("b") == 0, "CANDIDATES_MISSING").when(F.col("a") != F.col("b"), "COUNT_MISMATCH").when(F.col("misplaced"), "POSITION_INVALID")
+    error = error.when(F.col("evidence"), "EVIDENCE_MISMATCH").when(F.col("wrong"), "RESOLUTION_INVALID").when(F.col("loose"), "UNRESOLVED_INVALID")
+    return g.select("scan_id", error.alias("error"))
+
+
+@query(
+    """SELECT o_custkey AS scan_id, CASE o_custkey % 7 WHEN 1 THEN 'COUNT_MISMATCH' WHEN 2 THEN 'POSITION_INVALID' WHEN 3 THEN 'EVIDENCE_MISMATCH' WHEN 4 THEN 'RESOLUTION_INVALID' WHEN 5 THEN 'UNRESOLVED_INVALID' END AS error
+FROM orders GROUP BY o_custkey HAVING count(*) >= 2"""
+)
+def chk_match_report(spark, sf_dir):
+    """Reports of which six in seven carry a fault each: one match too few, a position, a name, or an id that doesn't fit."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    size = Window.partitionBy("o_custkey")
+    o = b.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scan_id"), F.row_number().over(w).alias("position"), F.count("*").over(size).alias("size"), F.concat(F.lit("Name "), F.col("o_orderkey").cast("string")).alias("raw"))
+    o = o.where("size >= 2").drop("size")
+    fault, first = F.col("scan_id") % 7, F.col("position") == 1
+    m = o.where(~((fault == 1) & first)).select(
+        "scan_id",
+        F.when((fault == 2) & first, 2).otherwise(F.col("position")).alias("position"),
+        F.when((fault == 3) & first, "other").otherwise(F.col("raw")).alias("raw"),
+        F.upper("raw").alias("key"),
+        F.when((fault == 5) & first, "UNRESOLVED").otherwise("RESOLVED").alias("resolution"),
+        F.when((fault == 4) & first, -1).otherwise(F.col("position")).cast("bigint").alias("id"),
+    )
+    return report_error(m, o.select("scan_id", "position", "raw", F.col("raw").alias("fixed")))
