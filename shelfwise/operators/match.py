@@ -82,7 +82,7 @@ def reason_groups(reasons: DataFrame) -> DataFrame:
     effect = F.when(F.col("blocked"), "BLOQUEOU").when((F.col("total") < 0) | F.col("bare"), "TIROU").when(F.col("total") > 0, F.when(F.col("percent") < MATCH_FROM, "COMBINOU_POUCO").otherwise("COMBINOU"))
     out = g.withColumn("percent", percent).withColumn("effect", effect).where("effect is not null")
     rank = F.array_position(F.array(*map(F.lit, ("BLOQUEOU", "TIROU", "COMBINOU_POUCO", "COMBINOU"))), F.col("effect"))
-    order = Window.partitionBy("doc").orderBy(rank, F.when(F.col("effect") == "COMBINOU", -F.col("percent")).otherwise(F.col("percent")), "ord")
+    order = Window.partitionBy("doc").orderBy(rank, F.when(F.col("effect") == "COMBINOU", -F.col("percent")).otherwise(F.col("percent")), "ord", "slug")
     return out.select("doc", "slug", "effect", "percent", F.array_join("names", "|").alias("names"), F.row_number().over(order).alias("pos"))
 
 
@@ -167,7 +167,7 @@ nl AS (SELECT doc, slug, string_agg(ingredient, '|' ORDER BY ord) AS names FROM
 g AS (SELECT doc, slug, bool_or(block) AS blocked, bool_or(bare) AS bare, coalesce(sum(impact) FILTER (moved), 0.0::DOUBLE) AS total, min(ord) AS ord FROM k WHERE block OR bare OR moved GROUP BY ALL),
 p AS (SELECT *, CASE WHEN blocked OR bare OR total <= 0 THEN 0 ELSE floor(least(1.0::DOUBLE, total / 20.0::DOUBLE) * 100 + 0.5::DOUBLE)::INT END AS percent FROM g),
 x AS (SELECT *, CASE WHEN blocked THEN 'BLOQUEOU' WHEN total < 0 OR bare THEN 'TIROU' WHEN total > 0 THEN CASE WHEN percent < 50 THEN 'COMBINOU_POUCO' ELSE 'COMBINOU' END END AS effect FROM p),
-groups AS (SELECT doc, slug, effect, percent, coalesce(names, '') AS names, row_number() OVER (PARTITION BY doc ORDER BY list_position(['BLOQUEOU', 'TIROU', 'COMBINOU_POUCO', 'COMBINOU'], effect), CASE WHEN effect = 'COMBINOU' THEN -percent ELSE percent END, ord)::INT AS pos
+groups AS (SELECT doc, slug, effect, percent, coalesce(names, '') AS names, row_number() OVER (PARTITION BY doc ORDER BY list_position(['BLOQUEOU', 'TIROU', 'COMBINOU_POUCO', 'COMBINOU'], effect), CASE WHEN effect = 'COMBINOU' THEN -percent ELSE percent END, ord, slug)::INT AS pos
   FROM x LEFT JOIN nl USING (doc, slug) WHERE effect IS NOT NULL)
 """
 
