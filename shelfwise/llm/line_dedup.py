@@ -7,18 +7,19 @@ of 0.8 all bands miss with a chance of about 0.004, at 0.9 of 0.0003, less where
 compared by exact Jaccard similarity, and linked lines are joined by distributed union-find; of each component the line
 that comes first by (doc_id, line number) stays, everything else goes.
 
-Work per line is bounded. First every line is compared with one line only, the least of those that lead its bands, and
-linked lines are joined. Then the bands that still hold lines of different components are taken up again: up to SMALL
-lines are compared pair by pair across components, in larger bands every line with the band's first and last, and by
-keys of LONG hashes, whose small groups are again compared pair by pair.
+First every line is compared with one line only, the least of those that lead its bands, and linked lines are joined.
+Then the bands that still hold lines of different components are taken up again: up to SMALL lines are compared pair by
+pair across components, and the lines of larger bands meet by an exact prefix filter, which loses no pair.
 
 Defined cases: null texts have no lines; lines of fewer than LEAST characters are always kept; lines equal after
-normalisation are linked without any band; rows that repeat doc_id and text are one document and keep the same lines; a
-null doc_id comes last; an empty table gives an empty one; extra columns are ignored.
+normalisation are linked without any band; rows that repeat doc_id and text are one document and keep the same lines; a null doc_id comes
+last; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,10 @@ from .common import SIMILAR, materialize, row_key, small
 from .graph import connected_components
 
 CHARS, LEAST = 10, 30
+BANDS, SMALL = 8, 24
 HEAD = 4
-BANDS, LONG, SMALL = 8, 6, 24
+#: Lines in a block of a large group, and how often a shingle occurs to be set behind the rarer ones.
+BLOCK, HOT = 256, 16
 #: Rows of one or two numbers are broadcast below this many; beyond it the joins shuffle.
 WANTED = 1_000_000
 
@@ -45,9 +48,9 @@ def char_shingles(norm: Column) -> Column:
     return F.array_distinct(windows_at_words(norm))
 
 
-def bands(least: Column, count: int = BANDS, run: int = 2) -> Column:
-    """Band keys: hashes of each `run` neighbours among the sorted least hashes of a line."""
-    return F.array_compact(F.array(*[F.when(F.size(least) >= i + run, F.xxhash64(*[F.get(least, F.lit(i + k)) for k in range(run)])) for i in range(count)]))
+def bands(least: Column) -> Column:
+    """Band keys: hashes of each two neighbours among the sorted least hashes of a line."""
+    return F.array_compact(F.array(*[F.when(F.size(least) >= i + 2, F.xxhash64(*[F.get(least, F.lit(i + k)) for k in range(2)])) for i in range(BANDS)]))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -76,18 +79,49 @@ def _fit(x: Column, y: Column, least: float) -> Column:
     return F.least(x, y) >= least * F.greatest(x, y)
 
 
-def _across(members: DataFrame, least: float) -> DataFrame:
-    """(a, b, ca, cb) of different components and fitting sizes, from (key, nid, n, c): all pairs of small groups, in larger ones those with the first and last."""
-    line = F.struct("nid", "n", "c")
-    group = members.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(line).alias("first"), F.max(line).alias("last"))
+def _across(members: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    """(a, b, ca, cb) of different components and fitting sizes, from (key, nid, n, c): all pairs of small groups, and of the lines of larger ones all that can be similar."""
+    group = members.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     dealt = members.join(group.where("c0 != c1").drop("c0", "c1"), "key")
     few = dealt.where(F.col("m") <= SMALL).select("key", "nid", "n", "c")
     pairs = few.toDF("key", "a", "na", "ca").join(few.toDF("key", "b", "nb", "cb"), "key")
     every = pairs.where(F.expr("a < b and ca != cb") & _fit(F.col("na"), F.col("nb"), least)).select("a", "b", "ca", "cb")
-    star = dealt.where(F.col("m") > SMALL).select("nid", "n", "c", F.explode(F.array("first", "last")).alias("e")).where(F.expr("c != e.c") & _fit(F.col("n"), F.col("e.n"), least))
-    first = F.col("nid") < F.col("e.nid")
-    ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(n) for x, y, n in (("nid", "e.nid", "a"), ("e.nid", "nid", "b"), ("c", "e.c", "ca"), ("e.c", "c", "cb"))]
-    return every.unionByName(star.select(*ends))
+    large = materialize(dealt.where(F.col("m") > SMALL).select("nid", "n", "c").distinct(), "large")
+    return every if large.isEmpty() else every.unionByName(_rest(large, lines, least))
+
+
+def _rest(large: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    """(a, b, ca, cb) of all lines of `large` (nid, n, c) that can be similar, by an exact prefix filter.
+
+    With every line's shingles in one order, rare ones first, two lines that share o shingles or more have one in common
+    among the first n - o + 1 of each. What o must be is known better if partners are of known size, so lines are met
+    by (shingle, class of both sizes). The first shared shingle also bounds how many can follow it. Groups are dealt in
+    pairs of blocks.
+    """
+    held = large.join(lines.select("nid", "norm"), "nid").select("nid", "n", "c", F.explode(char_shingles(F.col("norm"))).alias("h"))
+    hot = materialize(held.groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") >= HOT), "hot_shingles")
+    ranked = held.join(small(hot, limit=WANTED), "h", "left").groupBy("nid", "n", "c").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "h"))).alias("o"))
+
+    up, n = 1 / least, F.col("n")
+    k = F.floor(F.log(n.cast("double")) / F.lit(math.log(up)) + 1e-9) if up > 1 else n
+    low = lambda j: F.floor(F.pow(F.lit(up), j) * (1 - 1e-9))
+    fits = F.ceil(least * n - 1e-9)
+    # class 2k: both lines of size class k; 2k + 1: of k (side 0) and k + 1 (side 1)
+    roles = [(2 * k, F.greatest(fits, low(k)), -1), (2 * k + 1, low(k + 1), 0), (2 * k - 1, fits, 1)]
+    first = lambda least_size: F.greatest(F.lit(1), F.least(n, n - F.ceil(least / (1 + least) * (n + least_size) - 1e-9) + 1)).cast("int")
+    named = lambda kind, side: lambda x, i: F.struct(x["h"].alias("h"), kind.cast("long").alias("kind"), F.lit(side).alias("side"), i.alias("i"))
+    keys = [F.transform(F.slice("o", 1, first(at_least)), named(kind, side)) for kind, at_least, side in roles]
+    met = materialize(ranked.select("nid", "n", "c", F.explode(F.concat(*keys)).alias("x")).select(F.xxhash64("x.h", "x.kind").alias("key"), "x.side", "x.i", "nid", "n", "c"), "prefixes")
+    group = met.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("side").alias("s0"), F.max("side").alias("s1"))
+    group = group.where("c0 != c1 and (s0 != s1 or s0 = -1)").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = met.join(group, "key").withColumn("block", F.pmod(F.xxhash64("nid", "key"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = dealt.where("side < 1").select("key", F.col("block").alias("p"), others.alias("q"), F.col("nid").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("i").alias("ix"), F.col("side").alias("sx"))
+    two = dealt.where("side != 0").select("key", others.alias("p"), F.col("block").alias("q"), F.col("nid").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("i").alias("iy"))
+    can = F.expr("least(nx - ix, ny - iy)") >= least / (1 + least) * (F.col("nx") + F.col("ny")) - 1e-9
+    pairs = one.join(two, ["key", "p", "q"]).where(F.expr("cx != cy and (sx = 0 or x < y)") & _fit(F.col("nx"), F.col("ny"), least) & can)
+    swap = F.col("x") < F.col("y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("cx")).otherwise(F.col("cy")).alias("ca"), F.when(swap, F.col("cy")).otherwise(F.col("cx")).alias("cb"))
 
 
 def components(docs: DataFrame, sig: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -118,11 +152,7 @@ def components(docs: DataFrame, sig: DataFrame, least: float = SIMILAR) -> DataF
     joined = connected_components(found, "line_groups").withColumnsRenamed({"node": "nid", "component": "c"})
     named = members.join(sizes, "nid").join(joined, "nid", "left").withColumn("c", F.coalesce("c", "nid"))
     named = materialize(named, "named_bands")
-    open_keys = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.first("m").alias("m")).where("c0 != c1")
-    large = named.join(open_keys.where(F.col("m") > SMALL).select("key"), "key", "left_semi").select("nid", "n", "c").distinct()
-    sorted_hashes = lines.drop("n").join(large, "nid").select("nid", "n", "c", F.slice(F.sort_array(char_shingles(F.col("norm"))), 1, BANDS + LONG).alias("o"))
-    again = sorted_hashes.select(F.explode(bands(F.col("o"), BANDS, LONG)).alias("key"), "nid", "n", "c")
-    more = _across(named.select("key", "nid", "n", "c"), least).unionByName(_across(again, least)).distinct()
+    more = materialize(_across(named.select("key", "nid", "n", "c"), lines.select("nid", "norm"), least).distinct(), "line_pairs")
     # what the second round links are components of the first
     across = connected_components(_linked(more, lines, least).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "line_groups")
     known = joined.join(across.withColumnRenamed("node", "c"), "c", "left").select(F.col("nid").alias("node"), F.coalesce("component", "c").alias("component"))
