@@ -1,11 +1,13 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Lines are normalised (lower case, no spaces at the ends) and cut into character shingles: windows of CHARS characters
-that begin at each word of HEAD characters or more. The least hashes of a line's shingles are its sketch, and every two neighbours among the first
-BANDS + 1 are a band: a band holds while both hashes are shared and nothing lies between them, so at a Jaccard similarity
-of 0.8 all bands miss with a chance of about 0.004, at 0.9 of 0.0003, less where lines are linked through others. Lines that share a band are
-compared by exact Jaccard similarity, and linked lines are joined by distributed union-find; of each component the line
-that comes first by (doc_id, line number) stays, everything else goes.
+Lines are normalised (lower case, no spaces at the ends) and cut into character shingles: all windows of CHARS
+characters; a shorter line is one shingle. The least hashes of a line's shingles are its sketch, and every two neighbours among
+the first BANDS + 1 are a band: a band holds while both hashes are shared and nothing lies between them, so at a Jaccard
+similarity of 0.8 all bands miss with a chance of about 0.004, at 0.9 of 0.0003, less where lines are linked through others.
+The sketch of a line of LONG characters or more is taken from the windows at some characters only, which are still many
+times BANDS. Lines that share a band are compared by exact Jaccard similarity of all their shingles, and linked lines are
+joined by distributed union-find; of each component the line that comes first by (doc_id, line number) stays, everything
+else goes.
 
 First every line is compared with one line only, the least of those that lead its bands, and linked lines are joined.
 Then the bands that still hold lines of different components are taken up again: up to SMALL lines are compared pair by
@@ -23,12 +25,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILAR, materialize, row_key, small
+from .common import SIMILAR, let, materialize, row_key, small
 from .graph import connected_components
 
 CHARS, LEAST = 10, 30
 BANDS, SMALL = 8, 24
-HEAD = 4
+#: Lines of LONG characters or more are sketched by the windows that begin with a character of SOME; those of up to LONG * 5 / 4, or with fewer than FEW such windows, by all windows too.
+LONG, SOME, FEW = 137, "[adlu258[^\\x00-\\x7f]]", 40
 #: Lines in a block of a large group, and how often a shingle occurs to be set behind the rarer ones.
 BLOCK, HOT = 256, 16
 #: Rows of one or two numbers are broadcast below this many; beyond it the joins shuffle.
@@ -39,18 +42,29 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(line, F.lit(" \t\n\x0b\x0c\r")))
 
 
-def windows_at_words(norm: Column) -> Column:
-    """Hashes of the windows of CHARS characters at the words of HEAD characters or more of a normalised line."""
-    return F.transform(F.regexp_extract_all(norm, F.lit(f"(?=([^ ]{{{HEAD}}}.{{0,{CHARS - HEAD}}}))[^ ]++"), 1), lambda x: F.xxhash64(x))
+def _hashes(norm: Column, start: str) -> Column:
+    """Distinct hashes of the windows of CHARS characters that begin with a character of the class `start`."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(norm, F.lit(f"(?s)(?=({start}.{{{CHARS - 1}}}))."), 1), lambda x: F.xxhash64(x)))
 
 
 def char_shingles(norm: Column) -> Column:
-    return F.array_distinct(windows_at_words(norm))
+    """Distinct hashes of all windows of CHARS characters of a normalised line; a shorter line is one window."""
+    return F.when(F.length(norm) > CHARS, _hashes(norm, ".")).otherwise(F.array(F.xxhash64(norm)))
 
 
-def bands(least: Column) -> Column:
-    """Band keys: hashes of each two neighbours among the sorted least hashes of a line."""
-    return F.array_compact(F.array(*[F.when(F.size(least) >= i + 2, F.xxhash64(*[F.get(least, F.lit(i + k)) for k in range(2)])) for i in range(BANDS)]))
+def bands(shingles: Column) -> Column:
+    """Band keys: hashes of each two neighbours among the sorted least hashes of a line; a line of one shingle has its hash."""
+    least = lambda x: F.slice(F.sort_array(x), 1, BANDS + 1)
+    pairs = lambda o: F.array_compact(F.array(*[F.when(F.size(o) > i + 1, F.xxhash64(F.get(o, F.lit(i)), F.get(o, F.lit(i + 1)))) for i in range(BANDS)]))
+    return let(least(shingles), lambda o: F.when(F.size(o) == 1, o).otherwise(pairs(o)))
+
+
+def line_keys(norm: Column) -> Column:
+    """Band keys of a normalised line. Lines that can be similar have bands of the same kind: of all windows or of those at SOME."""
+    every = bands(char_shingles(norm))
+    length = F.length(norm)
+    mixed = let(_hashes(norm, SOME), lambda x: F.when((length <= LONG * 5 / 4 + CHARS) | (F.size(x) < FEW), F.array_union(bands(x), every)).otherwise(bands(x)))
+    return F.when(length < LONG, every).otherwise(mixed)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -62,8 +76,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def signed(docs: DataFrame) -> DataFrame:
     """(rk, d, line_no, nid, keys) of the lines of LEAST characters or more; nid names a normalised line."""
     lines = lines_of(docs).where(F.length("norm") >= LEAST)
-    least = lines.select("rk", "d", "line_no", F.xxhash64("norm").alias("nid"), F.slice(F.sort_array(windows_at_words(F.col("norm"))), 1, BANDS + 1).alias("o"))
-    return materialize(least.select("rk", "d", "line_no", "nid", bands(F.col("o")).alias("keys")), "lines")
+    return materialize(lines.select("rk", "d", "line_no", F.xxhash64("norm").alias("nid"), line_keys(F.col("norm")).alias("keys")), "lines")
 
 
 def _linked(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
