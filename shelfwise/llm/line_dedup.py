@@ -13,8 +13,8 @@ First every line is compared with one line only, the least of those that lead it
 Then the bands that still hold lines of different components are taken up again: up to SMALL lines are compared pair by
 pair across components, and the lines of larger bands meet by an exact prefix filter, which loses no pair.
 
-Defined cases: null texts have no lines; lines of fewer than LEAST characters are always kept; lines equal after
-normalisation are linked without any band; rows that repeat doc_id and text are one document and keep the same lines; a null doc_id comes
+Defined cases: null texts have no lines; empty lines are always kept; lines equal after normalisation are linked without
+any band, however short; rows that repeat doc_id and text are one document and keep the same lines; a null doc_id comes
 last; an empty table gives an empty one; extra columns are ignored.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import SIMILAR, let, materialize, row_key, small
 from .graph import connected_components
 
-CHARS, LEAST = 10, 30
+CHARS = 10
 BANDS, SMALL = 8, 24
 #: Lines of LONG characters or more are sketched by the windows that begin with a character of SOME; those of up to LONG * 5 / 4, or with fewer than FEW such windows, by all windows too.
 LONG, SOME, FEW = 137, "[adlu258[^\\x00-\\x7f]]", 40
@@ -74,8 +74,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(rk, d, line_no, nid, keys) of the lines of LEAST characters or more; nid names a normalised line."""
-    lines = lines_of(docs).where(F.length("norm") >= LEAST)
+    """(rk, d, line_no, nid, keys) of the lines that are not empty; nid names a normalised line."""
+    lines = lines_of(docs).where("norm != ''")
     return materialize(lines.select("rk", "d", "line_no", F.xxhash64("norm").alias("nid"), line_keys(F.col("norm")).alias("keys")), "lines")
 
 
@@ -173,7 +173,7 @@ def components(docs: DataFrame, sig: DataFrame, least: float = SIMILAR) -> DataF
 
 
 def verdicts(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(rk, line_no, component, keep) of every line of LEAST characters or more."""
+    """(rk, line_no, component, keep) of every line that is not empty."""
     sig = signed(docs)
     linked = components(docs, sig, least)
     named = sig.select("rk", "d", "line_no", "nid").join(linked.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
