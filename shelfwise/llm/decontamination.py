@@ -4,10 +4,11 @@ A document is kept as a sketch of its five-word shingles: hash space is cut into
 class allows (the next power of two of its shingle count), and the least hash of each bin stays. The class thus sets how
 many minima a document has, so that a short test item is met inside a long document as surely as inside a short one. A
 test item whose shingles are among a document's minima often enough is a candidate, and every candidate is verified by
-the exact share of the item's shingles that the whole document holds.
+the exact share of the item's shingles that the whole document holds. Items of fewer than SURE shingles are met by all
+shingles of the documents, as a document's minima may hold too few of theirs.
 
-Chance to miss an item of 10 shingles of which 8 are held: below 0.0004 (each held shingle is its bin's least with a
-chance of 0.63 or more); longer items are safer.
+Chance to miss an item of 16 shingles of which 13 are held: below 0.0001 (each held shingle is its bin's least with a
+chance of 0.63 or more, and two must be); longer items are safer, and shorter ones are never missed.
 
 Defined cases: null texts count as empty and match nothing; an item or a document of one to four words is one shingle;
 items without words match nothing; rows that repeat doc_id and text give one result; items that repeat item_id and text
@@ -23,6 +24,8 @@ from .common import SIMILAR, materialize, row_key, shingles, small
 
 #: A candidate has at least this share of its item's shingles among the document's minima (0.5 are expected at 0.8 held).
 SEEN = 0.125
+#: Items of fewer shingles are looked up among all shingles of every document.
+SURE = 16
 
 
 def sketch(hashes: Column) -> Column:
@@ -49,9 +52,19 @@ def found(docs: DataFrame, items: DataFrame, least: float = SIMILAR) -> DataFram
     items = items.select(items["item_id"].alias("item_id"), shingles(items["text"]).alias("shs")).where(F.size("shs") > 0).dropDuplicates()
     flat = materialize(items.select("item_id", F.size("shs").alias("n_item"), F.explode("shs").alias("h")), "items")
     n_flat = flat.count()
-    seen = docs.select(row_key(docs["doc_id"], docs["text"]).alias("rk"), F.explode(sketch(shingles(docs["text"]))).alias("h"))
-    hits = seen.join(small(flat, n_flat), "h").groupBy("rk", "item_id", "n_item").agg(F.count_distinct("h").alias("n"))
-    near = materialize(hits.where(F.col("n") >= F.greatest(F.lit(1), F.floor(SEEN * F.col("n_item")))).select("rk", "item_id"), "near")
+    n_short = flat.where(F.col("n_item") < SURE).count()
+
+    def hits(probes: Column, part: DataFrame, n: int) -> DataFrame:
+        seen = docs.select(row_key(docs["doc_id"], docs["text"]).alias("rk"), F.explode(probes).alias("h"))
+        return seen.join(small(part, n), "h").groupBy("rk", "item_id", "n_item").agg(F.count_distinct("h").alias("n"))
+
+    near = hits(sketch(shingles(docs["text"])), flat.where(F.col("n_item") >= SURE), n_flat - n_short)
+    near = near.where(F.col("n") >= F.greatest(F.lit(1), F.floor(SEEN * F.col("n_item")))).select("rk", "item_id")
+    if n_short:
+        short = hits(shingles(docs["text"]), flat.where(F.col("n_item") < SURE), n_short)
+        short = short.where(F.col("n") >= least * F.col("n_item")).select("rk", "item_id")
+        near = short if n_short == n_flat else near.unionByName(short).distinct()
+    near = materialize(near, "near")
     whole = small(near.select("rk").distinct())
     text = docs.select(row_key(docs["doc_id"], docs["text"]).alias("rk"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     held = text.join(whole, "rk").dropDuplicates(["rk"]).select("rk", "doc_id", F.explode(shingles(F.col("text"))).alias("h"))
