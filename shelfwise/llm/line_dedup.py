@@ -1,21 +1,19 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-Lines are normalised (lower case, no spaces at the ends) and cut into character shingles: all windows of CHARS
-characters; a shorter line is one shingle. The least hashes of a line's shingles are its sketch, and every two neighbours among
-the first BANDS + 1 are a band: a band holds while both hashes are shared and nothing lies between them, so at a Jaccard
-similarity of 0.8 all bands miss with a chance of about 0.004, at 0.9 of 0.0003, less where lines are linked through others.
-The sketch of a line of LONG characters or more is taken from the windows at some characters only, which are still many
-times BANDS. Lines that share a band are compared by exact Jaccard similarity of all their shingles, and linked lines are
-joined by distributed union-find; of each component the line that comes first by (doc_id, line number) stays, everything
-else goes.
-
-First every line is compared with one line only, the least of those that lead its bands, and linked lines are joined.
+Lines are normalised (lower case, no spaces at the ends) and equal ones become one. A line's character shingles are all
+its windows of CHARS characters (UTF-16 units), in any script; a shorter line is one window. The shingles are dealt to
+BINS bins of three parts by their hash, the least hash of each part is the line's signature and those of a bin are a band: at
+a Jaccard similarity of 0.8 a band is shared with a chance of 0.51, so all ten miss with 0.0008, at 0.9 with 0.000002. Lines that share a band
+are compared by exact Jaccard similarity of all their shingles, and linked lines are joined by distributed union-find; of
+each component the line that comes first by (doc_id, line number) stays, everything else goes.
+
+First every line is compared with one line only, that which leads most of its bands, and linked lines are joined.
 Then the bands that still hold lines of different components are taken up again: up to SMALL lines are compared pair by
 pair across components, and the lines of larger bands meet by an exact prefix filter, which loses no pair.
 
 Defined cases: null texts have no lines; empty lines are always kept; lines equal after normalisation are linked without
-any band, however short; rows that repeat doc_id and text are one document and keep the same lines; a null doc_id comes
-last; an empty table gives an empty one; extra columns are ignored.
+any band, however short; rows that repeat doc_id and text are one document and keep the same lines; doc_ids of any type
+are ordered as their type is and a null comes last; an empty table gives an empty one; extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -25,13 +23,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILAR, let, materialize, row_key, small
+from .common import SIMILAR, given_rows, let, materialize, row_key, rows_of, small
 from .graph import connected_components
 
 CHARS = 10
-BANDS, SMALL = 8, 24
-#: Lines of LONG characters or more are sketched by the windows that begin with a character of SOME; those of up to LONG * 5 / 4, or with fewer than FEW such windows, by all windows too.
-LONG, SOME, FEW = 137, "[adlu258[^\\x00-\\x7f]]", 40
+BINS, SMALL = 10, 128
+#: Least hashes that all parts of all bins choose from.
+ENOUGH = 120
 #: Lines in a block of a large group, and how often a shingle occurs to be set behind the rarer ones.
 BLOCK, HOT = 256, 16
 #: Rows of one or two numbers are broadcast below this many; beyond it the joins shuffle.
@@ -42,41 +40,48 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(line, F.lit(" \t\n\x0b\x0c\r")))
 
 
-def _hashes(norm: Column, start: str) -> Column:
-    """Distinct hashes of the windows of CHARS characters that begin with a character of the class `start`."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(norm, F.lit(f"(?s)(?=({start}.{{{CHARS - 1}}}))."), 1), lambda x: F.xxhash64(x)))
+def _starts(units: Column) -> Column:
+    """Where the windows of a line's UTF-16 bytes begin, from 1."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(units) - 2 * CHARS + 1), F.lit(2))
 
 
 def char_shingles(norm: Column) -> Column:
     """Distinct hashes of all windows of CHARS characters of a normalised line; a shorter line is one window."""
-    return F.when(F.length(norm) > CHARS, _hashes(norm, ".")).otherwise(F.array(F.xxhash64(norm)))
+    return let(F.encode(norm, "UTF-16BE"), lambda u: F.array_distinct(F.transform(_starts(u), lambda i: F.xxhash64(F.substr(u, i, F.lit(2 * CHARS))))))
 
 
-def bands(shingles: Column) -> Column:
-    """Band keys: hashes of each two neighbours among the sorted least hashes of a line; a line of one shingle has its hash."""
-    least = lambda x: F.slice(F.sort_array(x), 1, BANDS + 1)
-    pairs = lambda o: F.array_compact(F.array(*[F.when(F.size(o) > i + 1, F.xxhash64(F.get(o, F.lit(i)), F.get(o, F.lit(i + 1)))) for i in range(BANDS)]))
-    return let(least(shingles), lambda o: F.when(F.size(o) == 1, o).otherwise(pairs(o)))
+def _different(norm: Column) -> Column:
+    """About how many different windows a line has at least: its share of different words tells. Lines of long words count as uniform."""
+    words = F.split(norm, " ")
+    share = F.size(F.array_distinct(words)) / F.size(words)
+    return F.when(F.length(norm) > 40 * F.size(words), 0.0).otherwise(F.length(norm) * share)
 
 
-def line_keys(norm: Column) -> Column:
-    """Band keys of a normalised line. Lines that can be similar have bands of the same kind: of all windows or of those at SOME."""
-    every = bands(char_shingles(norm))
-    length = F.length(norm)
-    mixed = let(_hashes(norm, SOME), lambda x: F.when((length <= LONG * 5 / 4 + CHARS) | (F.size(x) < FEW), F.array_union(bands(x), every)).otherwise(bands(x)))
-    return F.when(length < LONG, every).otherwise(mixed)
+def bands(lines: DataFrame) -> DataFrame:
+    """(key, nid): the bands of every line of `lines` (nid, norm).
+
+    Of a line of many windows only those go on whose hash can be the least of its part: some ENOUGH / (BINS * 3) of each.
+    """
+    most = F.lit(2**63 - 1)
+    bar = F.when(F.length("norm") > 2 * ENOUGH, let(_different(F.col("norm")), lambda n: F.when(n > 2 * ENOUGH, (F.lit(ENOUGH * 2.0**64) / n - F.lit(2.0**63)).cast("long")).otherwise(most)))
+    units = lines.select("nid", F.encode("norm", "UTF-16BE").alias("u"), F.coalesce(bar, most).alias("bar"))
+    each = units.select("nid", "u", "bar", F.explode(_starts(F.col("u"))).alias("i"))
+    each = each.select("nid", "bar", F.xxhash64(F.substr("u", F.col("i"), F.lit(2 * CHARS))).alias("h")).where("h <= bar")
+    part = F.pmod("h", F.lit(3 * BINS)).cast("int")
+    least = each.select("nid", F.floor(part / 3).cast("int").alias("bin"), (part % 3).alias("part"), "h").groupBy("nid", "bin").agg(*[F.min(F.when(F.col("part") == k, F.col("h"))).alias(f"h{k}") for k in range(3)])
+    return least.select(F.xxhash64("bin", "h0", "h1", "h2").alias("key"), "nid")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(rk, d, line_no, norm) of every line."""
-    base = docs.select(row_key(docs["doc_id"], docs["text"]).alias("rk"), F.coalesce(docs["doc_id"].cast("long"), F.lit(2**62)).alias("d"), docs["text"].alias("text"))
-    return base.select("rk", "d", F.posexplode(F.transform(F.split("text", "\n"), normal)).alias("line_no", "norm"))
+    """(rk, d, line_no, norm) of every line that is not empty."""
+    base = docs.select(row_key(docs["doc_id"], docs["text"]).alias("rk"), docs["doc_id"].alias("d"), docs["text"].alias("text"))
+    return base.select("rk", "d", F.posexplode(F.transform(F.split("text", "\n"), normal)).alias("line_no", "norm")).where("norm != ''")
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """(rk, d, line_no, nid, keys) of the lines that are not empty; nid names a normalised line."""
-    lines = lines_of(docs).where("norm != ''")
-    return materialize(lines.select("rk", "d", "line_no", F.xxhash64("norm").alias("nid"), line_keys(F.col("norm")).alias("keys")), "lines")
+def unique_lines(docs: DataFrame) -> DataFrame:
+    """(nid, norm, m) of the different normalised lines: a number, and how often the line stands anywhere."""
+    counted = lines_of(docs).groupBy("norm").agg(F.count("*").alias("m"))
+    return materialize(counted.select(F.monotonically_increasing_id().alias("nid"), "norm", "m"), "lines")
 
 
 def _linked(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
@@ -87,31 +92,27 @@ def _linked(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     return shared.where(F.col("n") >= least * (F.col("all") - F.col("n"))).select(*pairs.columns)
 
 
-def _fit(x: Column, y: Column, least: float) -> Column:
-    """Whether sets of these sizes can be similar."""
-    return F.least(x, y) >= least * F.greatest(x, y)
-
-
 def _across(members: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    """(a, b, ca, cb) of different components and fitting sizes, from (key, nid, n, c): all pairs of small groups, and of the lines of larger ones all that can be similar."""
+    """(a, b, ca, cb) of different components, from (key, nid, c): all pairs of small groups, and of the lines of larger ones all that can be similar."""
     group = members.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     dealt = members.join(group.where("c0 != c1").drop("c0", "c1"), "key")
-    few = dealt.where(F.col("m") <= SMALL).select("key", "nid", "n", "c")
-    pairs = few.toDF("key", "a", "na", "ca").join(few.toDF("key", "b", "nb", "cb"), "key")
-    every = pairs.where(F.expr("a < b and ca != cb") & _fit(F.col("na"), F.col("nb"), least)).select("a", "b", "ca", "cb")
-    large = materialize(dealt.where(F.col("m") > SMALL).select("nid", "n", "c").distinct(), "large")
+    few = dealt.where(F.col("m") <= SMALL).select("key", "nid", "c")
+    pairs = few.toDF("key", "a", "ca").join(few.toDF("key", "b", "cb"), "key")
+    every = pairs.where(F.expr("a < b and ca != cb")).select("a", "b", "ca", "cb")
+    large = materialize(dealt.where(F.col("m") > SMALL).select("nid", "c").distinct(), "large")
     return every if large.isEmpty() else every.unionByName(_rest(large, lines, least))
 
 
 def _rest(large: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    """(a, b, ca, cb) of all lines of `large` (nid, n, c) that can be similar, by an exact prefix filter.
+    """(a, b, ca, cb) of all lines of `large` (nid, c) that can be similar, by an exact prefix filter.
 
     With every line's shingles in one order, rare ones first, two lines that share o shingles or more have one in common
     among the first n - o + 1 of each. What o must be is known better if partners are of known size, so lines are met
     by (shingle, class of both sizes). The first shared shingle also bounds how many can follow it. Groups are dealt in
     pairs of blocks.
     """
-    held = large.join(lines.select("nid", "norm"), "nid").select("nid", "n", "c", F.explode(char_shingles(F.col("norm"))).alias("h"))
+    sets = large.join(lines, "nid").select("nid", "c", char_shingles(F.col("norm")).alias("hs"))
+    held = sets.select("nid", F.size("hs").alias("n"), "c", F.explode("hs").alias("h"))
     hot = materialize(held.groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") >= HOT), "hot_shingles")
     ranked = held.join(small(hot, limit=WANTED), "h", "left").groupBy("nid", "n", "c").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "h"))).alias("o"))
 
@@ -132,71 +133,57 @@ def _rest(large: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     one = dealt.where("side < 1").select("key", F.col("block").alias("p"), others.alias("q"), F.col("nid").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("i").alias("ix"), F.col("side").alias("sx"))
     two = dealt.where("side != 0").select("key", others.alias("p"), F.col("block").alias("q"), F.col("nid").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("i").alias("iy"))
     can = F.expr("least(nx - ix, ny - iy)") >= least / (1 + least) * (F.col("nx") + F.col("ny")) - 1e-9
-    pairs = one.join(two, ["key", "p", "q"]).where(F.expr("cx != cy and (sx = 0 or x < y)") & _fit(F.col("nx"), F.col("ny"), least) & can)
+    pairs = one.join(two, ["key", "p", "q"]).where(F.expr("cx != cy and (sx = 0 or x < y)") & (F.least("nx", "ny") >= least * F.greatest("nx", "ny")) & can)
     swap = F.col("x") < F.col("y")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("cx")).otherwise(F.col("cy")).alias("ca"), F.when(swap, F.col("cy")).otherwise(F.col("cx")).alias("cb"))
 
 
-def components(docs: DataFrame, sig: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(node, component) of the normalised lines that are linked to others."""
-    unique = sig.groupBy("nid").agg(F.first("keys").alias("keys"))
-    dealt = unique.select("nid", F.explode("keys").alias("key")).repartition("key")
+def components(lines: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(node, component) of the lines of `lines` (nid, norm) that are linked to others."""
+    dealt = bands(lines).repartition("key")
     live = dealt.groupBy("key").agg(F.count("*").alias("m"), F.min("nid").alias("lead")).where("m > 1")
     members = materialize(dealt.join(live.hint("shuffle_hash"), "key"), "bands")
+    held = materialize(lines.select("nid", "norm").join(small(members.select("nid").distinct(), limit=WANTED), "nid"), "line_texts")
 
-    # the text of every line in a shared band, from its first place
-    wanted = small(members.select("nid").distinct(), limit=WANTED)
-    at = sig.join(wanted, "nid").groupBy("nid").agg(F.min(F.struct("d", "line_no", "rk")).alias("at"))
-    at = materialize(at.select("nid", "at.rk", "at.line_no"), "places")
-    total = at.count()
-    by_doc = at.groupBy("rk").agg(F.map_from_arrays(F.collect_list("line_no"), F.collect_list("nid")).alias("want"))
-    text = docs.select(row_key(docs["doc_id"], docs["text"]).alias("rk"), docs["text"].alias("text")).join(small(by_doc, total, WANTED), "rk")
-    whole = text.select("want", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    whole = whole.select(F.try_element_at("want", F.col("line_no")).alias("nid"), "line").where("nid is not null")
-    whole = whole.select("nid", normal(F.col("line")).alias("norm"))
-    lines = materialize(whole.select("nid", "norm", F.size(char_shingles(F.col("norm"))).alias("n")), "line_texts")
-    if lines.count() > total:  # rows that repeat doc_id and text
-        lines = lines.dropDuplicates(["nid"])
-
-    lead = members.groupBy("nid").agg(F.min("lead").alias("a")).where("a != nid").select("a", F.col("nid").alias("b"))
-    sizes = lines.select("nid", "n")
-    lead = lead.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(_fit(F.col("na"), F.col("nb"), least)).select("a", "b")
-    found = materialize(_linked(lead, lines, least), "line_links")
+    shared = members.where("nid != lead").groupBy("nid", "lead").agg(F.count("*").alias("n"))
+    lead = shared.groupBy("nid").agg(F.max(F.struct("n", -F.col("lead"))).alias("best")).select((-F.col("best")["col2"]).alias("a"), F.col("nid").alias("b"))
+    found = materialize(_linked(lead, held, least), "line_links")
     joined = connected_components(found, "line_groups").withColumnsRenamed({"node": "nid", "component": "c"})
-    named = members.join(sizes, "nid").join(joined, "nid", "left").withColumn("c", F.coalesce("c", "nid"))
+    named = members.select("key", "nid").join(joined, "nid", "left").withColumn("c", F.coalesce("c", "nid"))
     named = materialize(named, "named_bands")
-    more = materialize(_across(named.select("key", "nid", "n", "c"), lines.select("nid", "norm"), least).distinct(), "line_pairs")
+    more = materialize(_across(named, held, least).distinct(), "line_pairs")
     # what the second round links are components of the first
-    across = connected_components(_linked(more, lines, least).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "line_groups")
+    across = connected_components(_linked(more, held, least).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "line_groups")
     known = joined.join(across.withColumnRenamed("node", "c"), "c", "left").select(F.col("nid").alias("node"), F.coalesce("component", "c").alias("component"))
     return known.unionByName(across.join(joined.select(F.col("nid").alias("node")), "node", "left_anti"))
 
 
-def verdicts(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(rk, line_no, component, keep) of every line that is not empty."""
-    sig = signed(docs)
-    linked = components(docs, sig, least)
-    named = sig.select("rk", "d", "line_no", "nid").join(linked.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-    named = materialize(named, "named")
-    first = named.groupBy("component").agg(F.min(F.struct("d", "line_no", "rk")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return named.join(first, "component", "left").select("rk", "line_no", "component", (F.col("n").isNull() | (F.struct("d", "line_no", "rk") == F.col("first"))).alias("keep"))
-
-
 def removed_lines(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(rk, gone): the numbers, from 0, of the lines that each document loses; documents that lose none are absent."""
-    return verdicts(docs, least).where("not keep").groupBy("rk").agg(F.collect_set("line_no").alias("gone"))
+    """(rk, gone): the numbers, from 0, of the lines that each document loses; documents that lose none are absent.
+
+    A line is known by two hashes of its text. The join of places with the lines that repeat has one row for each place,
+    so a common line costs no more than its places; beyond the broadcast limit Spark splits its partition.
+    """
+    lines = unique_lines(docs)
+    linked = components(lines, least).withColumnsRenamed({"node": "nid"})
+    known = lines.join(linked, "nid", "left").where("m > 1 or component is not null")
+    two = [F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2")]
+    flagged = materialize(known.select(*two, F.coalesce("component", "nid").alias("component")), "repeated_lines")
+    places = lines_of(docs).select("rk", F.struct(F.col("d").isNull().alias("none"), "d", "line_no", "rk").alias("at"), *two)
+    held = materialize(places.join(small(flagged.select("h1", "h2"), limit=WANTED), ["h1", "h2"], "left_semi"), "repeats")
+    # the first place of each line, then of each component: both are counted before they are shuffled
+    first = held.groupBy("h1", "h2").agg(F.min("at").alias("at")).join(flagged, ["h1", "h2"]).groupBy("component").agg(F.min("at").alias("at"))
+    gone = held.select("rk", F.col("at.line_no").alias("line_no")).join(first.select("at.rk", "at.line_no"), ["rk", "line_no"], "left_anti")
+    return gone.groupBy("rk").agg(F.collect_set("line_no").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The documents with their columns, without the lines that repeat earlier ones. Documents of which nothing is left go."""
-    gone = removed_lines(docs, least).withColumnsRenamed({"rk": "__rk", "gone": "__gone"})
-    out = docs.withColumn("__rk", row_key(docs["doc_id"], docs["text"])).join(gone, "__rk", "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
-    out = out.where(F.col("__gone").isNull() | (normal(F.col("text")) != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = rows_of(docs).join(removed_lines(docs, least), "rk", "left")
+    whole = F.col("row")["text"]
+    left = F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    out = out.withColumn("text", F.when(F.col("gone").isNull(), whole).otherwise(left))
+    return given_rows(out.where(F.col("gone").isNull() | (normal(F.col("text")) != "")), docs, F.col("text"))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -85,3 +85,23 @@ def jaccard_links(sets: list[frozenset], least: float = 0.8) -> list[tuple[int,
             if n >= least * (len(s) + len(sets[j]) - n):
                 out.append((j, i))
     return out
+
+
+def expected_removed(rows) -> dict:
+    """The lines that each document loses, by the sets of all windows of ten characters."""
+    occ: dict = {}
+    for d, text in {(r[0], r[1] or "") for r in rows}:
+        for k, line in enumerate(text.split("\n")):
+            if n := line.strip(" \t\n\x0b\x0c\r").lower():
+                occ.setdefault(n, []).append((2**62 if d is None else d, k, d))
+    names, groups = list(occ), Groups()
+    for i, j in jaccard_links([frozenset(n[k : k + 10] for k in range(max(1, len(n) - 9))) for n in names]):
+        groups.link(i, j)
+    members: dict = {}
+    out: dict = {}
+    for i, n in enumerate(names):
+        members.setdefault(groups.find(i), []).extend(occ[n])
+    for places in members.values():
+        for _, k, d in sorted(places, key=lambda x: x[:2])[1:]:
+            out.setdefault(d, set()).add(k)
+    return out

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import random
-import re
 
 import numpy as np
 import pytest
 
 from shelfwise.llm import graph, hashing, line_dedup, ngram_join
 
-from .helpers import DOCS, Groups, corpus, edited, jaccard_links, prose, shingle_set
+from .helpers import DOCS, Groups, corpus, edited, expected_removed, jaccard_links, prose, shingle_set
 
 
 def test_components(spark):
@@ -105,30 +104,6 @@ def test_hashed_shingles_are_sets_of_words():
     assert len(hashing.shingle_sets([])) == 0
 
 
-def expected_removed(rows):
-    occ, sets = {}, {}
-    for d, text in {(r[0], r[1] or "") for r in rows}:
-        for k, line in enumerate(text.split("\n")):
-            n = line.strip(" \t\n\x0b\x0c\r").lower()
-            if len(n) >= 30:
-                occ.setdefault(n, []).append((2**62 if d is None else d, k))
-    names = list(occ)
-    sets = [frozenset(n[m.end() : m.end() + 10] for m in re.finditer("(?:^| )(?=[^ ]{4})", n)) for n in names]
-    groups = Groups()
-    for i in range(len(names)):
-        groups.find(i)
-    for i, j in jaccard_links(sets):
-        groups.link(i, j)
-    first, removed = {}, {}
-    for i, n in enumerate(names):
-        first[groups.find(i)] = min([*occ[n], first.get(groups.find(i), (2**63, 0))])
-    for i, n in enumerate(names):
-        for d, k in occ[n]:
-            if (d, k) != first[groups.find(i)]:
-                removed.setdefault(d, set()).add(k)
-    return removed
-
-
 @pytest.mark.parametrize("small", [24, 3])
 def test_line_dedup_against_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(line_dedup, "SMALL", small)
@@ -139,7 +114,7 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, small):
     gone = {r.rk: set(r.gone) for r in line_dedup.removed_lines(docs).collect()}
     keys = {r.rk2: (r.doc_id, r.text) for r in docs.select(line_dedup.row_key(docs["doc_id"], docs["text"]).alias("rk2"), "doc_id", "text").collect()}
     got = {(2**62 if keys[k][0] is None else keys[k][0]): v for k, v in gone.items()}
-    want = expected_removed(rows)
+    want = {2**62 if d is None else d: v for d, v in expected_removed(rows).items()}
     differ = sum(got.get(d, set()) != want.get(d, set()) for d in {*got, *want})
     assert differ <= 1  # a line at the very threshold may be missed, see the recall in the module
     out = line_dedup.dedup_lines(docs)

@@ -6,7 +6,7 @@ import random
 
 from shelfwise.llm import line_dedup
 
-from .helpers import DOCS, Groups, corpus, edited, jaccard_links, prose
+from .helpers import DOCS, corpus, edited, expected_removed, prose
 
 
 def one_line_docs(lines):
@@ -19,24 +19,6 @@ def removed(spark, rows):
     return {of[r.rk]: set(r.gone) for r in line_dedup.removed_lines(docs).collect()}
 
 
-def expected(rows):
-    occ = {}
-    for d, text in {(r[0], r[1] or "") for r in rows}:
-        for k, line in enumerate(text.split("\n")):
-            if n := line.strip(" \t\n\x0b\x0c\r").lower():
-                occ.setdefault(n, []).append((2**62 if d is None else d, k, d))
-    names, groups = list(occ), Groups()
-    for i, j in jaccard_links([frozenset(n[k : k + 10] for k in range(max(1, len(n) - 9))) for n in names]):
-        groups.link(i, j)
-    members, out = {}, {}
-    for i, n in enumerate(names):
-        members.setdefault(groups.find(i), []).extend(occ[n])
-    for places in members.values():
-        for _, k, d in sorted(places, key=lambda x: x[:2])[1:]:
-            out.setdefault(d, set()).add(k)
-    return out
-
-
 def template_lines(seed, n=120):
     """Lines that share 16 of 20 words, every second one with a like partner."""
     rng = random.Random(seed)
@@ -53,7 +35,7 @@ def template_lines(seed, n=120):
 
 def test_large_bands_lose_no_pair(spark):
     rows = one_line_docs(template_lines(3))
-    want = expected(rows)
+    want = expected_removed(rows)
     assert removed(spark, rows) == want and 50 < len(want) < len(rows) - 50
 
 
@@ -63,19 +45,19 @@ def test_blocks_of_large_groups(spark, monkeypatch):
     rng = random.Random(6)
     base = prose(rng, 40, 40)
     rows = one_line_docs(template_lines(4, 60) + [edited(rng, base, 2) for _ in range(40)])
-    assert removed(spark, rows) == expected(rows)
+    assert removed(spark, rows) == expected_removed(rows)
 
 
 def test_lines_differ_beyond_their_long_words(spark):
     lines = [f"https://www.{a}.com/{b} https://www.{b}.org/{a}" for a, b in (("kilo", "mund"), ("sart", "lipo"), ("venu", "bado"))]
     lines += [f"revenue {' '.join(str(x) for x in range(k, k + 12))}" for k in (10, 40, 70)]
     rows = one_line_docs(lines)
-    assert removed(spark, rows) == expected(rows) == {}
+    assert removed(spark, rows) == expected_removed(rows) == {}
 
 
 def test_equal_short_lines(spark):
     rows = one_line_docs(["home\nabout us", "Home \n\n\nmore", "é\nx", "x\n\né"])
-    assert removed(spark, rows) == expected(rows) == {1: {0}, 3: {0, 2}}
+    assert removed(spark, rows) == expected_removed(rows) == {1: {0}, 3: {0, 2}}
 
 
 def test_lines_of_every_length(spark):
@@ -85,5 +67,32 @@ def test_lines_of_every_length(spark):
         t = prose(rng, rng.randint(1, 60), 60)
         lines += [t, edited(rng, t, 1), t + " za"]
     rows = corpus() + [(3000 + r[0], *r[1:]) for r in one_line_docs(lines + ["ab" * 200, "ab" * 150, "0 " * 100])]
-    got, want = removed(spark, rows), expected(rows)
+    got, want = removed(spark, rows), expected_removed(rows)
     assert sum(got.get(d, set()) != want.get(d, set()) for d in {*got, *want}) <= 2  # lines at the very threshold may be missed, see the recall in the module
+
+
+def test_any_script_and_repeated_windows(spark):
+    """Lines without spaces, and lines whose windows repeat, are compared by all their windows."""
+    rng = random.Random(2)
+    cjk = ["".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(60)) for _ in range(6)]
+    lines = cjk + [x[:58] + "\u4e00\u4e00" for x in cjk] + ["-" * 300, "-" * 90, "ab" * 400, "ab" * 200, "\u54c8" * 500, "\u54c8" * 30]
+    lines += [cjk[0][:30] + cjk[1][:30], "the same phrase of some words " * 60, "the same phrase of some words " * 20]
+    rows = one_line_docs(lines)
+    got = removed(spark, rows)
+    assert got == expected_removed(rows) and len(got) >= 9
+
+
+def test_recall_of_similar_lines(spark):
+    """Of pairs just above the threshold nearly all are linked, short and long ones."""
+    rng = random.Random(11)
+    lines = []
+    while len(lines) < 400:
+        a = prose(rng, rng.choice((12, 40, 150)), 200)
+        b = edited(rng, a, 1 + len(a) // 500)
+        s, t = (frozenset(x[k : k + 10] for k in range(len(x) - 9)) for x in (a, b))
+        if 0.8 <= len(s & t) / len(s | t) < 0.9:
+            lines += [a, b]
+    rows = one_line_docs(lines)
+    want = expected_removed(rows)
+    got = removed(spark, rows)
+    assert len(want) >= 200 and sum(d in got for d in want) >= 0.99 * len(want) and set(got) <= set(want)
