@@ -1,12 +1,12 @@
 """Quality rules by cross-document line frequency, in DataFrame functions only.
 
-Lines are normalised and hashed; for each host (the column `source`) the documents of different content that hold a line
-are counted; lines above the host's limit are removed; documents that a text rule fails, or that are left with too
-little, are rejected.
+Lines are normalised and hashed; for each host (the column `source`) the distinct documents that hold a line are counted;
+lines above the host's limit are removed; documents that a text rule fails, or that are left with too little, are
+rejected.
 
 Defined cases: a null text counts as empty, a null source as the host ''; an empty text fails the base rule; rows that
-repeat doc_id and text each get a row with the same values; exact copies of one text count as one document of a host,
-so copies alone never make a line boilerplate; an empty table gives an empty table; extra columns are ignored.
+repeat doc_id and text are one document and each get a row with the same values; copies under other doc_ids are documents
+of their own; an empty table gives an empty table; extra columns may have any name.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, let, materialize, row_key, windows, words
+from .common import WHITE, given_rows, let, materialize, row_key, rows_of, windows, words
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -66,7 +66,7 @@ def measured(docs: DataFrame) -> DataFrame:
         row_key(docs["doc_id"], docs["text"]).alias("rk"),
         docs["doc_id"].alias("doc_id"),
         F.coalesce(docs["source"], F.lit("")).alias("host"),
-        F.xxhash64(text).alias("content"),
+        F.xxhash64(row_key(docs["doc_id"], docs["text"])).alias("document"),
         F.length(_without(text, SPACES)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
         let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
@@ -78,16 +78,16 @@ def measured(docs: DataFrame) -> DataFrame:
             ),
         ).alias("l"),
     )
-    return materialize(base.select("rk", "doc_id", "host", "content", "word_chars", "n_symbols", "w.n_words", "w.n_repeat_words", "l.n_dup_lines", "l.lines"), "quality")
+    return materialize(base.select("rk", "doc_id", "host", "document", "word_chars", "n_symbols", "w.n_words", "w.n_repeat_words", "l.n_dup_lines", "l.lines"), "quality")
 
 
 def common_lines(base: DataFrame, least: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
-    """(host, h): lines in more documents of different content of a host than its limit allows."""
-    hosts = base.groupBy("host").agg(F.count_distinct("content").alias("docs"))
+    """(host, h): lines in more distinct documents of a host than its limit allows."""
+    hosts = base.groupBy("host").agg(F.count_distinct("document").alias("docs"))
     held = (
-        base.select("host", "content", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+        base.select("host", "document", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
         .groupBy("host", "h")
-        .agg(F.count_distinct("content").alias("n"))
+        .agg(F.count_distinct("document").alias("n"))
         .where(F.col("n") > least)
     )
     return held.join(hosts, "host").where(F.col("n") > F.greatest(F.lit(float(least)), share * F.col("docs"))).select("host", "h")
@@ -116,14 +116,9 @@ def judged(docs: DataFrame, least: int = LEAST_DOCS, share: float = SHARE) -> Da
 def filter_documents(docs: DataFrame, least: int = LEAST_DOCS, share: float = SHARE) -> DataFrame:
     """The kept documents with their columns, lines above the limits taken out of their texts."""
     verdict = judged(docs, least, share).where("kept").select("rk", "removed").dropDuplicates(["rk"])
-    lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("removed", line_hash(x)))
-    out = docs.withColumn("__rk", row_key(docs["doc_id"], docs["text"])).join(verdict.withColumnsRenamed({"rk": "__rk", "removed": "__removed"}), "__rk")
-    lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__removed", line_hash(x)))
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out, whole = rows_of(docs).join(verdict, "rk"), F.col("row")["text"]
+    lines = F.filter(F.split(whole, "\n"), lambda x: ~F.array_contains("removed", line_hash(x)))
+    return given_rows(out, docs, F.when(F.col("removed").isNull(), whole).otherwise(F.array_join(lines, "\n")))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -133,7 +128,7 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '') AS k FROM documents
 ), w AS (
   SELECT r, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM d
 ), win AS (
@@ -144,16 +139,16 @@ WITH d AS (
 ), rep AS (
   SELECT r, count(DISTINCT i + k) AS n FROM win JOIN twice USING (r, g), (SELECT unnest(range(0, 5)) AS k) GROUP BY r
 ), ls AS (
-  SELECT r, host, t, x, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS xs
-  FROM (SELECT r, host, t, unnest(string_split(t, chr(10))) AS x FROM d)
+  SELECT r, host, k, x, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') AS xs
+  FROM (SELECT r, host, k, unnest(string_split(t, chr(10))) AS x FROM d)
 ), l AS (
-  SELECT r, host, t, x, len(xs) AS n, lower(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS h FROM ls WHERE len(xs) > 0
+  SELECT r, host, k, x, len(xs) AS n, lower(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS h FROM ls WHERE len(xs) > 0
 ), dup AS (
   SELECT r, count(*) - count(DISTINCT x) AS n FROM l GROUP BY r
 ), hosts AS (
-  SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host
+  SELECT host, count(DISTINCT k) AS docs FROM d GROUP BY host
 ), common AS (
-  SELECT host, h FROM (SELECT host, h, count(DISTINCT t) AS n FROM l GROUP BY host, h) JOIN hosts USING (host)
+  SELECT host, h FROM (SELECT host, h, count(DISTINCT k) AS n FROM l GROUP BY host, h) JOIN hosts USING (host)
   WHERE n > 20 AND n > 0.05::DOUBLE * docs
 ), hit AS (
   SELECT r, sum(CASE WHEN c.h IS NULL THEN n ELSE 0 END) AS left_words, count(c.h) AS removed
