@@ -1,82 +1,55 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, in DataFrame functions only.
 
-A document is kept as a sketch of its five-word shingles: hash space is cut into as many bins as the document's size
-class allows (the next power of two of its shingle count), and the least hash of each bin stays. The class thus sets how
-many minima a document has, so that a short test item is met inside a long document as surely as inside a short one. A
-test item whose shingles are among a document's minima often enough is a candidate, and every candidate is verified by
-the exact share of the item's shingles that the whole document holds. Items of fewer than SURE shingles are met by all
-shingles of the documents, as a document's minima may hold too few of theirs.
+Test items are partitioned by size. An item of fewer than SURE five-word shingles is kept whole; a larger one as its MinHash
+sketch, its MINIMA least shingle hashes. Documents of any length are read once, shingle by shingle, against the
+sketches, so that a short item is met inside a long document as surely as inside a short one. A document that holds
+enough of an item's sketch is a candidate, and every candidate is verified by the exact share of the item's shingles
+that the whole document holds.
 
-Chance to miss an item of 16 shingles of which 13 are held: below 0.0001 (each held shingle is its bin's least with a
-chance of 0.63 or more, and two must be); longer items are safer, and shorter ones are never missed.
+Chance to miss an item whose share held is just 0.8: none below SURE shingles, for it needs 0.8 of them anyway; beyond, SEEN of
+MINIMA = 16 minima are asked for where 12.8 are expected, which fails with less than 0.0001.
 
 Defined cases: null texts count as empty and match nothing; an item or a document of one to four words is one shingle;
 items without words match nothing; rows that repeat doc_id and text give one result; items that repeat item_id and text
-count once; empty tables give an empty result; extra columns are ignored.
+count once; empty tables give an empty result; extra columns may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIMILAR, materialize, row_key, shingles, small
-
-#: A candidate has at least this share of its item's shingles among the document's minima (0.5 are expected at 0.8 held).
-SEEN = 0.125
-#: Items of fewer shingles are looked up among all shingles of every document.
-SURE = 16
-
-
-def sketch(hashes: Column) -> Column:
-    """The least hash of each bin; the number of bins is the next power of two of the number of hashes."""
-    bits = F.ceil(F.log2(F.size(hashes).cast("double"))).cast("int")
-    ordered = F.sort_array(hashes)
-    return F.when(
-        F.size(hashes) > 1,
-        F.get(
-            F.transform(
-                F.array(F.struct(ordered.alias("s"), (F.lit(64) - bits).alias("b"))),
-                lambda o: F.filter(
-                    o["s"],
-                    lambda x, i: (i == 0) | (F.call_function("shiftrightunsigned", x, o["b"]) != F.call_function("shiftrightunsigned", F.get(o["s"], i - 1), o["b"])),
-                ),
-            ),
-            F.lit(0),
-        ),
-    ).otherwise(hashes)
+from .common import SIMILAR, given_rows, materialize, row_key, rows_of, shingle_rows, shingles, small
+
+#: Items of fewer shingles are looked up by all of them, others by their MINIMA least; of these a candidate holds SEEN or more.
+SURE, MINIMA, SEEN = 16, 16, 6
+
+
+def probes(items: DataFrame, least: float) -> DataFrame:
+    """(h, item_id, need): the shingles by which items are met, and how many of them a candidate must hold."""
+    short = F.size("shs") < SURE
+    kept = F.when(short, F.col("shs")).otherwise(F.slice(F.sort_array("shs"), 1, MINIMA))
+    return items.select("item_id", F.explode(kept).alias("h"), F.when(short, F.ceil(least * F.size("shs") - 1e-9)).otherwise(F.lit(SEEN)).alias("need"))
 
 
 def found(docs: DataFrame, items: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(rk, doc_id, item_id, n_shared, n_item) of the pairs whose containment is `least` or more."""
     items = items.select(items["item_id"].alias("item_id"), shingles(items["text"]).alias("shs")).where(F.size("shs") > 0).dropDuplicates()
-    flat = materialize(items.select("item_id", F.size("shs").alias("n_item"), F.explode("shs").alias("h")), "items")
-    n_flat = flat.count()
-    n_short = flat.where(F.col("n_item") < SURE).count()
-
-    def hits(probes: Column, part: DataFrame, n: int) -> DataFrame:
-        seen = docs.select(row_key(docs["doc_id"], docs["text"]).alias("rk"), F.explode(probes).alias("h"))
-        return seen.join(small(part, n), "h").groupBy("rk", "item_id", "n_item").agg(F.count_distinct("h").alias("n"))
-
-    near = hits(sketch(shingles(docs["text"])), flat.where(F.col("n_item") >= SURE), n_flat - n_short)
-    near = near.where(F.col("n") >= F.greatest(F.lit(1), F.floor(SEEN * F.col("n_item")))).select("rk", "item_id")
-    if n_short:
-        short = hits(shingles(docs["text"]), flat.where(F.col("n_item") < SURE), n_short)
-        short = short.where(F.col("n") >= least * F.col("n_item")).select("rk", "item_id")
-        near = short if n_short == n_flat else near.unionByName(short).distinct()
-    near = materialize(near, "near")
-    whole = small(near.select("rk").distinct())
+    items = materialize(items, "items")
+    wanted = probes(items, least)
     text = docs.select(row_key(docs["doc_id"], docs["text"]).alias("rk"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    held = text.join(whole, "rk").dropDuplicates(["rk"]).select("rk", "doc_id", F.explode(shingles(F.col("text"))).alias("h"))
-    exact = held.join(small(flat, n_flat), "h").join(near, ["rk", "item_id"]).groupBy("rk", "doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
+    hits = shingle_rows(text, "rk").join(small(wanted), "h").groupBy("rk", "item_id", "need").agg(F.count_distinct("h").alias("n"))
+    near = materialize(hits.where("n >= need").select("rk", "item_id"), "near")
+    held = text.join(small(near.select("rk").distinct()), "rk").dropDuplicates(["rk"]).select("rk", "doc_id", F.explode(shingles(F.col("text"))).alias("h"))
+    flat = items.select("item_id", F.size("shs").alias("n_item"), F.explode("shs").alias("h"))
+    exact = held.join(small(flat), "h").join(near, ["rk", "item_id"]).groupBy("rk", "doc_id", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     return exact.where(F.col("n_shared") >= least * F.col("n_item"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, least: float = SIMILAR) -> DataFrame:
     """The documents that hold no item, with their columns."""
-    hit = materialize(found(docs, items, least).select("rk").distinct(), "leaks")
-    hit = small(hit)
-    return docs.join(hit, row_key(docs["doc_id"], docs["text"]) == hit["rk"], "left_anti")
+    hit = small(materialize(found(docs, items, least).select("rk").distinct(), "leaks"))
+    return given_rows(rows_of(docs).join(hit, "rk", "left_anti"), docs)
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
