@@ -1,18 +1,20 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page is read into lines, one for each block of text. Lines inside menus, headers, footers, sidebars, notices, adverts,
-forms, comments of readers, scripts and styles, as their elements, roles, classes or ids say, are dropped. Pages are put
-in order of host and URL path, and each is paired with the one beside it that shares the longer beginning of the path.
-The lines of the two are aligned by their longest common subsequence, and what both have is the site's, not the page's:
-shared lines are deleted, but for lines that the page itself marks as its article (article or main elements). A page that
-marks an article consists of its marked lines; any other of the lines that differencing leaves.
+A page is read into lines, one for each block of text. Pages of one host that hold the same lines are one content; contents
+are put in order of host and URL path, and each is paired with the one beside it that shares the longer beginning of the
+path. The lines of the two are aligned by their longest common subsequence, and what both have is the site's, not the
+page's: shared lines are deleted, but for lines that the page itself marks as its article (article or main elements). If
+nothing but menus and the like were left, the pair is two versions of one page: then the neighbour on the other side is
+taken, and without one nothing is deleted.
 
 Differencing alone can't give right results: a footer or advert whose words differ from page to page is shared with no
-neighbour, and two copies of one article share everything.
+neighbour. So of the lines that it leaves, those go that their elements, roles, classes or ids name as menus, headers,
+footers, sidebars, notices, adverts, forms or comments of readers; and a page that marks an article consists of its marked
+lines.
 
-Defined cases: a null html or url is empty; a page without neighbours on its host loses no shared lines; equal paths are
-ordered by page_id, and a tie between neighbours goes to the one before; repeated rows are pages of their own; unclosed
-and stray tags close with their parent or are ignored; an empty table gives an empty one; extra columns are ignored.
+Defined cases: a null html or url is empty; a page without neighbours of other content on its host loses no shared lines;
+a tie between neighbours goes to the one before; repeated rows are pages of their own; unclosed and stray tags close with
+their parent or are ignored; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,38 +31,66 @@ from .common import materialize
 from .url_filters import split_url
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "title", "select", "xmp", "noembed", "noframes")}
+#: Elements whose content isn't text of the page, and those of them that don't end a block.
+RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "object", "title", "select", "noembed", "noframes")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav header footer aside form menu dialog button head figure-nav datalist fieldset".split())
+DROPPED = frozenset("nav header footer aside form menu dialog button head datalist fieldset".split())
 MARKED = frozenset(("article", "main"))
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo mrow ms msub msup mtext q rp rt ruby s samp script small span strike strong style sub sup svg time tt u var wbr nobr".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|breadcrumbs?|header|masthead|footer|sidebar|side-bar|aside|widget|notice|notices|cookies?|consent|gdpr|banner|popup|modal|alert"
-    r"|ad|ads|advert|adverts|advertisement|advertising|sponsored|sponsor|promo|promotion|newsletter|subscribe|signup|login|form|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|pagination|pager|toolbar)(?:$|[\s_-])",
-    re.I,
+#: A class or id names what an element is by its last word, those of HOLDERS apart: site-footer is a footer, cookie-bar is of cookies, alert-text is text.
+NAMES = frozenset(
+    "nav navbar navigation menu menus breadcrumb breadcrumbs footer sidebar aside widget widgets notice notices cookie cookies consent gdpr banner popup modal alert alerts ad ads advert adverts advertisement advertisements advertising sponsored sponsor promo promotion newsletter subscribe signup login form comment comments commentlist disqus replies respond share sharing social related recommended pagination pager toolbar".split()
 )
+HOLDERS = frozenset("area bar block box body container group holder inner item items links list outer panel region row section unit wrap wrapper zone".split())
+#: As whole names only: the headers of articles are of another kind.
+WHOLE = frozenset("header masthead page-header site-header side-bar top-bar".split())
+#: First words of names that say how a page is laid out.
+LAYOUT = frozenset("has with no is without".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def _dropped(tag: str, rest: str, marked: bool) -> bool:
+def _named(value: str) -> str | None:
+    """The word that names an element of this class or id as something to drop."""
+    for name in value.lower().split():
+        if name in WHOLE:
+            return name
+        words = [w for w in re.split("[-_]+", name) if w]
+        while len(words) > 1 and words[-1] in HOLDERS:
+            words.pop()
+        if words and words[-1] in NAMES and words[0] not in LAYOUT:
+            return words[-1]
+    return None
+
+
+def _dropped(tag: str, rest: str, marked: bool) -> str | None:
+    """Why an element is dropped: its tag, role or name; a header within an article stays."""
     if tag in DROPPED:
-        return not (marked and tag == "header")
-    if rest and tag not in ("html", "body") and ("class" in rest or "id" in rest or "role" in rest or "hidden" in rest):
+        return None if marked and tag == "header" else tag
+    if rest and tag not in ("html", "body", "main") and ("class" in rest or "id" in rest or "role" in rest or "hidden" in rest):
         for m in ATTRIBUTE.finditer(rest):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id") and tag not in MARKED and NAMES.search(value):
-                return True
+            if name in ("class", "id"):
+                why = _named(value)
+                if why and (tag != "article" or why in COMMENTS) and not (marked and why in WHOLE):
+                    return why
             if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                return True
-    return False
+                return "role"
+    return None
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """(text, in an article) of each block of a page that stands in no dropped element."""
-    out: list[tuple[str, bool]] = []
+#: Kinds of lines: in the page's article, in something to drop, and all others.
+ARTICLE, DROP, OTHER = 1, 2, 0
+
+
+def lines_of(page: str) -> list[tuple[str, int]]:
+    """(text, kind) of each block of a page. An article within a form is an article still."""
+    out: list[tuple[str, int]] = []
     words: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, int, int]] = []
     drop = marked = 0
     at, end = 0, len(page)
 
@@ -69,7 +99,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         if words:
             text = " ".join("".join(words).split())
             if text:
-                out.append((text, marked > 0))
+                out.append((text, DROP if drop else ARTICLE if marked else OTHER))
             words = []
 
     while at < end:
@@ -78,35 +108,39 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         tag = m[2]
         if tag is None:
             if page[m.start()] != "<" or m.end() - m.start() == 1:
-                if not drop:
-                    words.append(entities.unescape(m[0]) if "&" in m[0] else m[0])
+                words.append(entities.unescape(m[0]) if "&" in m[0] else m[0])
             continue
         tag = tag.lower()
         if tag == "br":
-            if not drop:
-                words.append(" ")
+            words.append(" ")
             continue
         if tag not in INLINE:
             close()
         if m[1]:
             if any(x[0] == tag for x in stack):
                 while True:
-                    name, was_dropped, was_marked = stack.pop()
-                    drop -= was_dropped
-                    marked -= was_marked
+                    name, drop_before, marked_before = stack.pop()
+                    if drop != drop_before or marked != marked_before:
+                        close()
+                    drop, marked = drop_before, marked_before
                     if name == tag:
                         break
         elif tag in RAW:
             found = RAW[tag].search(page, at)
             at = found.end() if found else end
         elif tag not in VOID and not m[3].endswith("/"):
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag and not (stack[-1][1] or stack[-1][2]):
+            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag and stack[-1][1:] == (drop, marked):
                 stack.pop()
             # a p that formatting left open ends where the next begins
-            dropped, is_marked = _dropped(tag, m[3], marked > 0), tag in MARKED or "role" in m[3] and bool(re.search(r"role\s*=\s*[\"']?main\b", m[3]))
-            stack.append((tag, dropped, is_marked))
-            drop += dropped
-            marked += is_marked
+            why = _dropped(tag, m[3], marked > 0)
+            is_marked = tag in MARKED or "role" in m[3] and bool(re.search(r"role\s*=\s*[\"']?main\b", m[3]))
+            if why or is_marked:
+                close()
+            stack.append((tag, drop, marked))
+            if why:
+                drop = 2 if drop == 2 or why != "form" else 1  # 1: only a form holds it
+            elif is_marked and drop < 2:
+                drop, marked = 0, 1
     close()
     return out
 
@@ -151,55 +185,74 @@ def common_lines(a: list, b: list) -> np.ndarray:
         lo += 1
     while ha > lo and hb > lo and a[ha - 1] == b[hb - 1]:
         ha, hb = ha - 1, hb - 1
-    names: dict = {}
-    x, y = (np.array([names.setdefault(v, len(names)) for v in part], np.int64) for part in (a[lo:ha], b[lo:hb]))
     hit = np.ones(len(a), bool)
-    hit[lo:ha] = _aligned(x, y)
+    hit[lo:ha] = False
+    both = {v: i for i, v in enumerate(set(a[lo:ha]) & set(b[lo:hb]))}
+    if both:  # a line that one side lacks is in no common subsequence
+        at = [i for i in range(lo, ha) if a[i] in both]
+        x, y = (np.array([both[v] for v in part], np.int64) for part in ([a[i] for i in at], [v for v in b[lo:hb] if v in both]))
+        hit[at] = _aligned(x, y)
     return hit
 
 
-def shared_beginning(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
+def own_lines(lines: list, others: list[list]) -> list[str]:
+    """The texts of a page's (text, kind) lines that differencing against its neighbours, the nearest first, leaves."""
+    kept = [t for t, k in lines if k != DROP]
+    for other in others:
+        hit = common_lines([t for t, _ in lines], [t for t, _ in other])
+        left = [(t, k) for (t, k), h in zip(lines, hit) if k == ARTICLE or not h]
+        own = [t for t, k in left if k != DROP]
+        if own or not kept:
+            lines, kept = left, own
             break
-        n += 1
-    return n
+    article = [t for t, k in lines if k == ARTICLE]
+    return article or kept
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     kind = pages.schema["page_id"].dataType.simpleString()
+    content = ["host", "c1", "c2"]
 
     def read(batches):
         for pdf in batches:
-            texts, loose = [], []
-            for page in pdf["html"]:
-                lines = lines_of(page)
-                own = [t for t, m in lines if m]
-                texts.append(" ".join(own) if own else None)
-                loose.append([] if own else [t for t, _ in lines])
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "path": pdf["path"], "text": texts, "loose": loose})
+            lines = [lines_of(x) for x in pdf["html"]]
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "path": pdf["path"], "texts": [[t for t, _ in x] for x in lines], "kinds": [bytes(k for _, k in x) for x in lines]})
 
     host, path = split_url(pages["url"])
     rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(pages["html"], F.lit("")).alias("html"))
-    read_pages = materialize(rows.mapInPandas(read, f"page_id {kind}, url string, host string, path string, text string, loose array<string>"), "page_lines")
-    marked = read_pages.where("text is not null").select("page_id", "url", "text")
-    return marked.unionByName(differenced(read_pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    found = rows.mapInPandas(read, f"page_id {kind}, url string, host string, path string, texts array<string>, kinds binary")
+    found = materialize(found.withColumns({"c1": F.xxhash64("texts", "kinds"), "c2": F.xxhash64(F.lit(1), "texts", "kinds")}), "page_lines")
+    places = found.select("page_id", "path", *content)
+    first = F.min(F.struct("path", F.col("page_id").isNull().alias("none"), "page_id")).alias("at")
+    keys = places.groupBy(*content).agg(first).select(*content, "at.path", "at.page_id")
+    one = found.join(keys.select(*content, F.struct("path", "page_id").alias("at")), content).where(F.col("at").eqNullSafe(F.struct("path", "page_id")))
+    one = one.select(*content, F.struct("texts", "kinds").alias("lines")).dropDuplicates(content)
+
+    near = beside(keys)
+    side = lambda n: one.toDF("host", f"{n}1", f"{n}2", n)
+    both = one.join(near, content, "left").join(side("a"), ["host", "a1", "a2"], "left").join(side("b"), ["host", "b1", "b2"], "left")
+
+    def leave(batches):
+        pairs = lambda x: list(zip(x["texts"], x["kinds"]))
+        for pdf in batches:
+            texts = [" ".join(own_lines(pairs(x), [pairs(o) for o in others if isinstance(o, dict)])) for x, *others in zip(pdf["lines"], pdf["a"], pdf["b"])]
+            yield pd.DataFrame({"host": pdf["host"], "c1": pdf["c1"], "c2": pdf["c2"], "text": texts})
+
+    text = both.select(*content, "lines", "a", "b").mapInPandas(leave, "host string, c1 bigint, c2 bigint, text string")
+    return found.select("page_id", "url", *content).join(text, content).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-def differenced(read_pages: DataFrame) -> DataFrame:
-    """page_id, url and text of the pages without a marked article: their lines that the nearest page doesn't share.
+def beside(keys: DataFrame) -> DataFrame:
+    """(host, c1, c2, a1, a2, b1, b2): of every content, the nearest other content of its host and the one on the other side, or nulls.
 
-    The order of pages becomes numbers by a range sort and the row counts of its ranges, so that neighbours meet by an
+    The order of contents becomes numbers by a range sort and the row counts of its ranges, so that neighbours meet by an
     equi-join on those numbers and no host is gathered anywhere.
     """
-    spark = read_pages.sparkSession
-    kind = read_pages.schema["page_id"].dataType.simpleString()
-    order = ["host", "path", "page_id"]
-    pages = read_pages.where("text is null").select("page_id", "url", "host", "path", "loose")
+    spark = keys.sparkSession
+    order = ["host", "path", "page_id", "c1", "c2"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(pages.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "ordered")
+    placed = materialize(keys.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "ordered")
     part, row = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted((r[0], r[1]) for r in placed.groupBy(part.alias("part")).count().collect())  # one row a range
     before, total = {}, 0
@@ -208,22 +261,16 @@ def differenced(read_pages: DataFrame) -> DataFrame:
         total += c
     offset = F.create_map(*[F.lit(v) for kv in before.items() for v in kv])[part] if before else F.lit(0)
     placed = placed.withColumn("at", (offset + row).cast("long"))
-    beside = lambda by, name: placed.select((F.col("at") + by).alias("at"), F.struct("host", "path", "loose").alias(name))
-    joined = placed.join(beside(1, "before"), "at", "left").join(beside(-1, "after"), "at", "left")
-
-    def leave(batches):
-        for pdf in batches:
-            texts = []
-            for host, path, loose, a, b in zip(pdf["host"], pdf["path"], pdf["loose"], pdf["before"], pdf["after"]):
-                near = [(shared_beginning(path, x["path"]), -i, x) for i, x in enumerate((a, b)) if isinstance(x, dict) and x["host"] == host]
-                lines = list(loose)
-                if near:
-                    hit = common_lines(lines, list(max(near, key=lambda x: x[:2])[2]["loose"]))
-                    lines = [t for t, h in zip(lines, hit) if not h]
-                texts.append(" ".join(lines))
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts})
-
-    return joined.select("page_id", "url", "host", "path", "loose", "before", "after").mapInPandas(leave, f"page_id {kind}, url string, text string")
+    shared = lambda x: F.coalesce(F.array_position(F.transform(F.sequence(F.lit(1), F.greatest(F.length("path"), F.lit(1))), lambda i: F.substr("path", i, F.lit(1)) == F.substr(x, i, F.lit(1))), False), F.lit(0))
+    beginning = lambda x: F.when(F.startswith(x, F.col("path")), F.length("path") + 1).otherwise(shared(x))
+    other = lambda by, n: placed.select((F.col("at") + by).alias("at"), F.col("host").alias(f"{n}_host"), F.col("path").alias(f"{n}_path"), F.struct("c1", "c2").alias(n))
+    joined = placed.join(other(1, "p"), "at", "left").join(other(-1, "q"), "at", "left")
+    for n in "pq":
+        joined = joined.withColumn(f"{n}_near", F.when(F.col(f"{n}_host") == F.col("host"), beginning(F.col(f"{n}_path"))))
+    swap = F.col("p_near").isNull() | F.coalesce(F.col("q_near") > F.col("p_near"), F.lit(False))
+    p, q = (F.when(F.col(f"{n}_near").isNotNull(), F.col(n)) for n in "pq")
+    a, b = F.when(swap, q).otherwise(p), F.when(swap, p).otherwise(q)
+    return joined.select("host", "c1", "c2", a.alias("a"), b.alias("b")).select("host", "c1", "c2", F.col("a.c1").alias("a1"), F.col("a.c2").alias("a2"), F.col("b.c1").alias("b1"), F.col("b.c2").alias("b2"))
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:
