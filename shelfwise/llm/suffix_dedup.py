@@ -2,19 +2,18 @@
 
 Whole texts are UTF-8 bytes. Every string of `length` bytes holds an anchor: the position whose GRAM-byte hash is the
 first of its least. Equal strings have equal anchors, so repeats can only be found among anchors with an equal hash. The
-starts that share an anchor are stretches, and a stretch's context is all bytes of its strings. Contexts that occur elsewhere as a whole are repeats
-throughout; of the others with a shared anchor, and of one of each whole repeat to compare with, the contexts are sent to
-blocks, all contexts of an anchor hash to one block. A block is one text: its string starts are put in suffix order, in
-which equal strings are neighbours, and the longest-previous-factor array says for each start how far it repeats an
-earlier one; its mirror, the longest next factor, says so for later ones. keep="first" removes what repeats something
-earlier and so keeps the first copy; keep="none" removes every copy.
+starts that share an anchor are stretches, and a stretch's context is all bytes of its strings. Contexts that occur
+elsewhere as a whole are repeats throughout; of the others with a shared anchor, and of one of each whole repeat to compare
+with, the contexts are sent to blocks, all contexts of an anchor hash to one block.
 
-The suffix order is that of names of QUARTER strings (hashes of a quarter of `length` bytes), which sorts equal strings
-together as the order of bytes would, without comparing bytes; common prefixes are therefore measured in quarters, and
-only whole ones (four) count. "Earlier" is the order of a document's text hash and then of positions.
+A block is one text. Its starts are put in suffix order by doubling (names of 8 bytes, then of pairs of names, up to
+`length`), which compares bytes, not hashes. In that order the nearest start before and the nearest behind with a smaller
+place give each start's longest previous factor: the longer of the two common beginnings, in bytes up to `length`. The
+mirror with greater places is the longest next factor. keep="first" removes what repeats something earlier and so keeps
+the first copy; keep="none" removes every copy. "Earlier" is the order of a document's text hash and then of positions.
 
-An anchor hash with more than HOT different contexts is not sent to one block: its strings are named one by one and
-counted by distributed aggregation, which gives the same answer.
+An anchor hash with more than HOT different contexts is not sent to one block: its strings are named one by one (by hashes
+of their four quarters) and counted by distributed aggregation, which gives the same answer.
 
 Defined cases: null texts are empty; texts shorter than `length` keep all their bytes; a text that is repeated as a whole
 is removed as a whole (keep="first": the row of the least doc_id keeps it, every row where doc_ids tie); a null doc_id
@@ -29,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, small
 from .hashing import BASE, INVERSE, chunks, mix, powers
@@ -114,30 +114,73 @@ def window_names(context: list[bytes], length: int) -> tuple[np.ndarray, np.ndar
     return of, np.stack([h[at], h[at + q], h[at + 2 * q], tail[at + 3 * q]])
 
 
-def suffix_order(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the starts by their quarters' names, and of each neighbour pair the quarters in common from the first."""
-    joint = mix(names[0] + mix(names[1] + mix(names[2] + mix(names[3]))))
-    order = np.argsort(joint, kind="stable")
-    held = names[:, order]
-    same = held[:, 1:] == held[:, :-1]
-    return order, np.logical_and.accumulate(same, axis=0).sum(axis=0)
-
+def prefix_names(b: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(size, names): ranks of the strings of each size at every byte of b, by doubling up to `length`. Near b's end they mean nothing."""
+    ahead = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, len(x)), x.dtype)])
+    size = min(8, length)
+    code = np.zeros(len(b), np.uint64)
+    for k in range(size):
+        code = (code << np.uint64(8)) | ahead(b, k).astype(np.uint64)
+    rank = lambda x: np.unique(x, return_inverse=True)[1].astype(np.int32)
+    levels = [(size, rank(code))]
+    while size < length:
+        step = min(size, length - size)
+        names = levels[-1][1]
+        levels.append((size + step, rank(names.astype(np.int64) * (len(b) + 1) + ahead(names, step))))
+        size += step
+    return levels
+
+
+def common_beginning(b: np.ndarray, levels: list[tuple[int, np.ndarray]], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many bytes the strings at p and at q share from their start, up to the size of the last level."""
+    most = levels[-1][0]
+    n = np.where(levels[-1][1][p] == levels[-1][1][q], most, 0)
+    left = np.flatnonzero(n == 0)
+    for size, names in levels[-2::-1]:
+        x, y = p[left] + n[left], q[left] + n[left]
+        inside = n[left] + size <= most
+        x, y = np.where(inside, x, 0), np.where(inside, y, 0)
+        n[left] += np.where(inside & (names[x] == names[y]), size, 0)
+    for _ in range(min(levels[0][0], most - 1)):
+        left = left[n[left] < most]
+        left = left[b[p[left] + n[left]] == b[q[left] + n[left]]]
+        n[left] += 1
+    return n
+
+
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, -1 where there is none: by minima of runs of 1, 2, 4, .. places."""
+    minima = [values]
+    while 2 ** len(minima) <= len(values):
+        low, half = minima[-1], 2 ** (len(minima) - 1)
+        minima.append(np.minimum(low[:-half], low[half:]))
+    at = np.arange(len(values))
+    for k in range(len(minima) - 1, -1, -1):
+        back = at - 2**k
+        at = np.where((back >= 0) & (minima[k][np.maximum(back, 0)] >= values), back, at)
+    return at - 1
+
+
+def factors(b: np.ndarray, starts: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and longest next factor of the strings of b at `starts`, in bytes up to `length`.
+
+    place orders the strings; those of one place are the same bytes of a text and no repeat of each other.
+    """
+    levels = prefix_names(b, length)
+    order = np.argsort(levels[-1][1][starts], kind="stable")
+    at, held = starts[order], place[order]
 
-def factors(order: np.ndarray, common: np.ndarray, place: np.ndarray, whole: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Longest previous and next factor of each start, in quarters, cut to `whole` or 0.
+    def longest(values: np.ndarray) -> np.ndarray:
+        before = nearest_smaller(values)
+        behind = len(values) - 1 - nearest_smaller(values[::-1])[::-1]
+        best = np.zeros(len(values), np.int64)
+        for other, there in ((before, before >= 0), (behind, behind < len(values))):
+            best[there] = np.maximum(best[there], common_beginning(b, levels, at[there], at[other[there]]))
+        out = np.zeros(len(values), np.int64)
+        out[order] = best
+        return out
 
-    place orders the starts; starts of one place are the same bytes and no repeat of each other. In the suffix order, the
-    nearest start before or behind with a smaller place is in the same stretch of common prefixes of `whole`, or there
-    is none: so a start has a previous factor if its place is not the stretch's least, and a next one if not its most.
-    """
-    stretch = np.concatenate([[0], np.cumsum(common < whole)]) if len(order) else np.zeros(0, np.int64)
-    at = np.flatnonzero(np.diff(stretch, prepend=-1))
-    held = place[order]
-    least, most = np.minimum.reduceat(held, at)[stretch], np.maximum.reduceat(held, at)[stretch]
-    previous, following = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-    previous[order] = np.where(held > least, whole, 0)
-    following[order] = np.where(held < most, whole, 0)
-    return previous, following
+    return longest(held), longest(-held)
 
 
 def stretches(of: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,14 +229,19 @@ def _repeats(length: int, keep: str):
     def find(batches):
         for group in runs_of(batches, "block"):
             tid, lo, twice = group["tid"].to_numpy(), group["lo"].to_numpy().astype(np.int64), group["twice"].to_numpy()
-            of, names = window_names(group["bytes"].tolist(), length)
-            start = np.arange(len(of)) - np.searchsorted(of, np.arange(len(tid)))[of] + lo[of]
+            context = group["bytes"].tolist()
+            size = np.array([len(x) for x in context])
+            count = size - length + 1
+            of = np.repeat(np.arange(len(context)), count)
+            inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            start = inside + lo[of]
             ranks = np.lexsort((start, tid[of]))
-            place = np.zeros(len(of), np.int64)
+            place = np.zeros(len(of), np.int32)
             place[ranks] = np.cumsum(np.concatenate([[0], (np.diff(tid[of][ranks]) != 0) | (np.diff(start[ranks]) != 0)]))
-            previous, following = factors(*suffix_order(names), place)
-            hit = (previous > 0) if keep == "first" else (previous + following > 0)
-            hit &= ~twice[of] if keep == "none" else True
+            previous, following = factors(np.frombuffer(b"".join(context), np.uint8), inside + (np.cumsum(size) - size)[of], place, length)
+            hit = previous >= length
+            if keep == "none":
+                hit = (hit | (following >= length)) & ~twice[of]
             i, a, b = stretches(of[hit], start[hit], length)
             if len(i):
                 yield pd.DataFrame({"tid": tid[i], "a": a.astype(np.int32), "b": b.astype(np.int32)})
@@ -268,13 +316,11 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, keep: str = "none") ->
 
 def merged(runs: DataFrame) -> DataFrame:
     """(tid, spans): the maximal runs, in order, as structs of a and b."""
-    gathered = runs.groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("r"))
-    spans = F.aggregate(
-        "r",
-        F.array().cast("array<struct<a:int,b:int>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return gathered.select("tid", spans.alias("spans"))
+    w = Window.partitionBy("tid").orderBy("a", "b")
+    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = runs.select("tid", "a", "b").distinct().withColumn("new", F.coalesce((F.col("a") > reach).cast("int"), F.lit(1)))
+    spans = opened.withColumn("span", F.sum("new").over(w)).groupBy("tid", "span").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return spans.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, keep: str = "none") -> DataFrame:
@@ -305,4 +351,5 @@ def op10_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
         removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2(remaining(F.col("raw"), F.col("spans")), 256).alias("kept_sha256"),
+        (F.octet_length("raw") - removed).alias("n_kept"),
     )

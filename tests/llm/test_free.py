@@ -190,6 +190,59 @@ def test_page_text(spark):
     assert html_extraction.extracted(spark.createDataFrame(rows, PAGES)).count() == len(rows)
 
 
+def test_page_text_keeps_what_is_no_menu(spark):
+    """Names of headings, alerts and layouts drop nothing; mathematics stays; an article within a form or a layout stays."""
+    bodies = {
+        1: '<div class="post-header"><h1>Title</h1></div><p class="alert-text">Warm</p><p>x = <math><mi>y</mi><mn>2</mn></math> holds</p>',
+        2: '<div class="site-content has-sidebar"><article><h1>A</h1><p>B</p></article><div class="cookie-bar">C</div></div>',
+        3: '<form><div id="content" class="with-sidebar"><article><div class="entry-header">A</div><p>B</p></article><p>F</p></div></form>',
+        4: '<ol class="comment-list"><li><article class="comment">No</article></li></ol><article>Yes</article>',
+        5: '<article>One<div class="comments"><article>No</article></div> two</article><div class="ad-container">Ad</div>',
+        6: '<p>The price<script>x()</script>s fell</p><div class="site-footer">F</div><div id="main-content">M</div>',
+    }
+    rows = [(i, f"http://h{i}.com/{i}", page(b), 1, 2) for i, b in bodies.items()]
+    got = {r.page_id: r.text for r in html_extraction.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {1: "Title Warm x = y2 holds", 2: "A B", 3: "A B", 4: "Yes", 5: "One two", 6: "The prices fell M"}
+
+
+def test_differencing_decides(spark):
+    """Lines without any mark that neighbours share go, also where the neighbour marks an article; copies and versions are no neighbours to learn from."""
+    shell = lambda own: page(f"<div>Acme</div><div>{own}</div><div>All rights</div>")
+    rows = [(i, f"http://a.com/x/{i}", shell(f"Story {i}"), 1, 2) for i in range(3)]
+    rows += [(10 + i, "http://a.com/x/0", shell("Story 0"), 1, 2) for i in range(3)]  # copies
+    rows += [(20, "http://b.com/1", page("<div>Site</div><article>Marked</article>"), 1, 2), (21, "http://b.com/2", page("<div>Site</div><div>List</div>"), 1, 2)]
+    rows += [(30, "http://c.com/1", shell("Alone"), 1, 2), (31, "http://c.com/1", shell("Alone"), 1, 2)]
+    got = {r.page_id: r.text for r in html_extraction.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[i] for i in (0, 1, 2, 10, 11, 12)] == ["Story 0", "Story 1", "Story 2"] + ["Story 0"] * 3
+    assert got[20] == "Marked" and got[21] == "List" and got[30] == got[31] == "Acme Alone All rights"
+
+
+def own_by_hand(lines, others):
+    """Text of a page by plain longest common subsequences, over (text, kind) lines."""
+
+    def hits(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    return hits([t for t, _ in lines], [t for t, _ in others])
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.tuples(st.sampled_from("abcd"), st.sampled_from([0, 2])), max_size=12), st.lists(st.tuples(st.sampled_from("abcd"), st.sampled_from([0, 2])), max_size=12))
+def test_own_lines(lines, other):
+    """As many lines go as the longest common subsequence has, unless nothing of the page would be left."""
+    got = html_extraction.own_lines(lines, [other])
+    plain = [t for t, k in lines if k == 0]
+    everything = [(t, 0) for t, _ in lines]
+    left = html_extraction.own_lines(everything, [other])
+    shared = own_by_hand(lines, other)
+    assert len(left) == (len(lines) - shared or len(lines))
+    assert len(got) <= len(plain) and (got or not plain)
+
+
 @settings(deadline=None, max_examples=80)
 @given(st.lists(st.integers(0, 4), max_size=25), st.lists(st.integers(0, 4), max_size=25), st.sampled_from([1, 30, 10**6]))
 def test_longest_common_subsequence(a, b, cells):
@@ -239,6 +292,29 @@ def test_repeated_strings(spark, monkeypatch, tmp_path, hot):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == sorted(((r[0], *w) for r, w in zip(rows, want)), key=str)
 
 
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.binary(max_size=40).map(lambda x: bytes(c % 3 for c in x)), min_size=1, max_size=4), st.integers(1, 20))
+def test_factors_are_longest_previous_factors(texts, length):
+    import numpy as np
+
+    b = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    starts = np.array([i for e, t in zip(ends, texts) for i in range(e - len(t), e - length + 1)], np.int64)
+    place = np.random.default_rng(len(b)).permutation(len(starts)).astype(np.int32)
+    raw = b.tobytes()
+
+    def common(i, j):
+        n = 0
+        while n < length and raw[i + n] == raw[j + n]:
+            n += 1
+        return n
+
+    previous, following = suffix_dedup.factors(b, starts, place, length)
+    for k, i in enumerate(starts):
+        assert previous[k] == max((common(i, j) for m, j in enumerate(starts) if place[m] < place[k]), default=0)
+        assert following[k] == max((common(i, j) for m, j in enumerate(starts) if place[m] > place[k]), default=0)
+
+
 def test_first_copies_stay(spark):
     """With keep="first", each string is left in exactly one place of the texts it was in."""
     rng = random.Random(1)
