@@ -33,10 +33,15 @@ def valid(reviews: DataFrame) -> DataFrame:
 
 
 def summary(reviews: DataFrame, *keys: str) -> DataFrame:
-    """Mean to one decimal, total and the count of each star; invalid ratings don't count, and no rating gives no mean."""
+    """Mean to one decimal, total and the count of each star; invalid ratings don't count, and no rating gives no mean.
+
+    Ratings are added in whole millionths, so that the mean doesn't depend on the order in which rows meet.
+    """
     r = F.when(in_range(F.col("rating")), F.col("rating"))
     counts = [F.count_if(stars(r) == i).alias(f"stars_{i}") for i in range(1, 6)]
-    return reviews.groupBy(*keys).agg(F.avg(r).alias("m"), F.count(r).alias("total"), *counts).withColumn("mean", half_up(F.col("m"), 1)).drop("m")
+    added = reviews.groupBy(*keys).agg(F.sum(F.round(r * 1e6).cast("bigint")).alias("units"), F.count(r).alias("total"), *counts)
+    tenths = F.expr("(20 * units + 1000000 * total) div (2000000 * total)")
+    return added.withColumn("mean", F.when(F.col("total") > 0, tenths / 10.0)).drop("units")
 
 
 def first_pages(reviews: DataFrame, key: str, pages: int = PAGES, size: int = PAGE) -> DataFrame:
@@ -70,7 +75,7 @@ _STAR = "least(greatest(floor(rating + 0.5::DOUBLE), 1), 5)"
 
 @query(
     b.ctes("review")
-    + f"SELECT product_id, count(*) FILTER ({_VALID}) AS total, floor(avg(rating) FILTER ({_VALID}) * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS mean, "
+    + f"SELECT product_id, count(*) FILTER ({_VALID}) AS total, ((20 * sum(round(rating * 1000000.0::DOUBLE)::BIGINT) FILTER ({_VALID}) + 1000000 * count(*) FILTER ({_VALID})) // nullif(2000000 * count(*) FILTER ({_VALID}), 0))::DOUBLE / 10.0::DOUBLE AS mean, "
     + ", ".join(f"count(*) FILTER ({_VALID} AND {_STAR} = {i}) AS stars_{i}" for i in range(1, 6))
     + " FROM review GROUP BY product_id"
 )
