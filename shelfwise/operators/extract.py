@@ -1,4 +1,4 @@
-"""Values on label lines: codes, sizes, contacts and claims, as regular expressions over arrays of lines."""
+"""Values on label texts: codes, sizes and contacts, as regular expressions."""
 
 from __future__ import annotations
 
@@ -6,17 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ean_ok
-from ..functions.text import norm_back
 from ..plans.registry import query
 from ..sources import bindings as b
 
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
 PHONE = "\\(?\\b\\d{2}\\)?[ -]?\\d{4,5}-\\d{4}\\b"
-MOST_CLAIM = 180
-
-
-def lines(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != "")
 
 
 def contacts(text: Column) -> Column:
@@ -40,19 +34,6 @@ def net_content(text: Column) -> Column:
     return F.when(labelled != "", F.concat_ws(" ", labelled, label_unit)).when(plain != "", F.concat_ws(" ", plain, plain_unit)).otherwise("")
 
 
-def batch(all_lines: Column) -> Column:
-    """The code behind a batch heading, which has a digit; '' if none."""
-    found = F.transform(all_lines, lambda x: F.regexp_extract(F.upper(x), "\\b(?:LOTE|LOT|BATCH)\\b[\\s.:#-]*([A-Z0-9][A-Z0-9/-]{2,14})\\b", 1))
-    return F.coalesce(F.get(F.filter(found, lambda c: c.rlike("\\d")), F.lit(0)), F.lit(""))
-
-
-def claims(all_lines: Column, terms: tuple[str, ...], most: int = MOST_CLAIM) -> Column:
-    """Lines that hold any of the terms, each once, of up to `most` characters."""
-    norm = lambda x: norm_back(x)
-    kept = F.filter(all_lines, lambda x: F.exists(F.array(*map(F.lit, terms)), lambda t: norm(x).contains(t)))
-    return F.array_distinct(F.transform(kept, lambda x: F.left(F.trim(x), F.lit(most))))
-
-
 @query(
     f"SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '{PHONE}'), regexp_extract_all(text, '{EMAIL}')))), ' | '), '') AS contacts FROM documents"
 )
@@ -76,19 +57,3 @@ def ext_net_content(spark, sf_dir):
     size = F.col("p_size").cast("string")
     text = F.when(F.col("p_partkey") % 3 == 0, F.concat(size, F.lit(" g\nConteudo: 150 ML"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("80133324 G "), size, F.lit("g"))).otherwise(F.concat(F.lit("80133324 G 0 ml "), "p_name"))
     return b.table(spark, sf_dir, "part").select("p_partkey", net_content(text).alias("value"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'AB' || p_size || 'C' ELSE '' END AS value FROM part")
-def ext_batch(spark, sf_dir):
-    own = F.concat(F.lit("Lote: ab"), F.col("p_size").cast("string"), F.lit("c"))
-    text = F.array(F.lit("LOTE: HANDMXPIRATION"), F.when(F.col("p_partkey") % 2 == 0, own).otherwise(F.col("p_name")))
-    return b.table(spark, sf_dir, "part").select("p_partkey", batch(text).alias("value"))
-
-
-_LINE = "trim(regexp_replace(regexp_replace(upper(strip_accents(replace(x, 'ß', 'ss'))), '[^A-Z0-9./:%+@#&'' -]', '', 'g'), '\\s+', ' ', 'g'))"
-
-
-@query(f"SELECT conv_id, turn, len(list_distinct(list_transform(list_filter(string_split(text, chr(10)), lambda x: contains({_LINE}, 'TIONLE') OR contains({_LINE}, 'MENTEC')), lambda x: substr(trim(x), 1, 180)))) AS n FROM conversations")
-def ext_claims(spark, sf_dir):
-    c = b.table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.size(claims(lines(F.col("text")), ("TIONLE", "MENTEC"))).cast("bigint").alias("n"))

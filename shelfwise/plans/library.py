@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import labels, scalars, text  # noqa: F401
-from ..operators import catalog, extract, history, layout, match, products, profiles, projections, reconcile, resolve, reviews  # noqa: F401
+from ..operators import catalog, extract, history, label_reader, layout, match, products, profiles, projections, reconcile, resolve, reviews  # noqa: F401
 from ..sources import pages  # noqa: F401
 from ..streaming import decisions  # noqa: F401
 from .registry import ORACLES, QUERIES

@@ -146,7 +146,6 @@ def test_extraction(spark):
     lit = F.lit
     assert one(spark, extract.net_content(lit("80133324 G"))) == ""
     assert one(spark, extract.net_content(lit("90 G\nCONTEUDO: 150 ML"))) == "150 ML" and one(spark, extract.net_content(lit("90 G"))) == "90 G"
-    assert one(spark, extract.batch(F.array(lit("LOTE: HANDMXPIRATION")))) == "" and one(spark, extract.batch(F.array(lit("lote 12AB")))) == "12AB"
     assert one(spark, extract.contacts(lit("sac@x.com ou (11) 4004-1234, sac@x.com"))) == "(11) 4004-1234 | sac@x.com"
     assert one(spark, extract.barcode(lit("99999999 7891000100103 1"))) == "7891000100103"
 
