@@ -195,52 +195,57 @@ def common_lines(a: list, b: list) -> np.ndarray:
     return hit
 
 
-def own_lines(lines: list, others: list[list]) -> list[str]:
-    """The texts of a page's (text, kind) lines that differencing against its neighbours, the nearest first, leaves."""
-    kept = [t for t, k in lines if k != DROP]
+def own_lines(lines: list, others: list[list]) -> list[int]:
+    """The numbers of a page's (name, kind) lines that differencing against its neighbours, the nearest first, leaves."""
+    left = range(len(lines))
+    kept = [i for i in left if lines[i][1] != DROP]
     for other in others:
         hit = common_lines([t for t, _ in lines], [t for t, _ in other])
-        left = [(t, k) for (t, k), h in zip(lines, hit) if k == ARTICLE or not h]
-        own = [t for t, k in left if k != DROP]
+        some = [i for i in left if lines[i][1] == ARTICLE or not hit[i]]
+        own = [i for i in some if lines[i][1] != DROP]
         if own or not kept:
-            lines, kept = left, own
+            kept = own
             break
-    article = [t for t, k in lines if k == ARTICLE]
+    article = [i for i in kept if lines[i][1] == ARTICLE]
     return article or kept
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+    """page_id, url, text and n_chars of every page. Neighbours meet as hashes of their lines; texts stay with their pages."""
     kind = pages.schema["page_id"].dataType.simpleString()
     content = ["host", "c1", "c2"]
 
     def read(batches):
         for pdf in batches:
             lines = [lines_of(x) for x in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "path": pdf["path"], "texts": [[t for t, _ in x] for x in lines], "kinds": [bytes(k for _, k in x) for x in lines]})
+            article = [" ".join(t for t, k in x if k == ARTICLE) if any(k == ARTICLE for _, k in x) else None for x in lines]
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "path": pdf["path"], "article": article, "texts": [[t for t, _ in x] for x in lines], "kinds": [bytes(k for _, k in x) for x in lines]})
 
     host, path = split_url(pages["url"])
     rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(pages["html"], F.lit("")).alias("html"))
-    found = rows.mapInPandas(read, f"page_id {kind}, url string, host string, path string, texts array<string>, kinds binary")
-    found = materialize(found.withColumns({"c1": F.xxhash64("texts", "kinds"), "c2": F.xxhash64(F.lit(1), "texts", "kinds")}), "page_lines")
-    places = found.select("page_id", "path", *content)
+    found = rows.mapInPandas(read, f"page_id {kind}, url string, host string, path string, article string, texts array<string>, kinds binary")
+    found = found.withColumn("names", F.transform("texts", lambda t: F.xxhash64(t))).withColumn("texts", F.when(F.col("article").isNull(), F.col("texts")))
+    found = materialize(found.withColumns({"c1": F.xxhash64("names", "kinds"), "c2": F.xxhash64(F.lit(1), "names", "kinds")}), "page_lines")
     first = F.min(F.struct("path", F.col("page_id").isNull().alias("none"), "page_id")).alias("at")
-    keys = places.groupBy(*content).agg(first).select(*content, "at.path", "at.page_id")
-    one = found.join(keys.select(*content, F.struct("path", "page_id").alias("at")), content).where(F.col("at").eqNullSafe(F.struct("path", "page_id")))
-    one = one.select(*content, F.struct("texts", "kinds").alias("lines")).dropDuplicates(content)
+    contents = found.groupBy(*content).agg(first, F.first(F.struct("names", "kinds")).alias("lines"))
+    contents = materialize(contents.select(*content, "at.path", "at.page_id", "lines"), "page_contents")
 
-    near = beside(keys)
-    side = lambda n: one.toDF("host", f"{n}1", f"{n}2", n)
-    both = one.join(near, content, "left").join(side("a"), ["host", "a1", "a2"], "left").join(side("b"), ["host", "b1", "b2"], "left")
+    near = beside(contents.drop("lines"))
+    side = lambda n: contents.select("host", F.col("c1").alias(f"{n}1"), F.col("c2").alias(f"{n}2"), F.col("lines").alias(n))
+    both = contents.join(near, content, "left").join(side("a"), ["host", "a1", "a2"], "left").join(side("b"), ["host", "b1", "b2"], "left")
 
     def leave(batches):
-        pairs = lambda x: list(zip(x["texts"], x["kinds"]))
+        pairs = lambda x: list(zip(x["names"], x["kinds"]))
         for pdf in batches:
-            texts = [" ".join(own_lines(pairs(x), [pairs(o) for o in others if isinstance(o, dict)])) for x, *others in zip(pdf["lines"], pdf["a"], pdf["b"])]
-            yield pd.DataFrame({"host": pdf["host"], "c1": pdf["c1"], "c2": pdf["c2"], "text": texts})
-
-    text = both.select(*content, "lines", "a", "b").mapInPandas(leave, "host string, c1 bigint, c2 bigint, text string")
-    return found.select("page_id", "url", *content).join(text, content).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+            keep = [own_lines(pairs(x), [pairs(o) for o in others if isinstance(o, dict)]) for x, *others in zip(pdf["lines"], pdf["a"], pdf["b"])]
+            yield pd.DataFrame({"host": pdf["host"], "c1": pdf["c1"], "c2": pdf["c2"], "keep": keep})
+
+    kept = both.select(*content, "lines", "a", "b").mapInPandas(leave, "host string, c1 bigint, c2 bigint, keep array<int>")
+    marked = found.where("article is not null").select("page_id", "url", F.col("article").alias("text"))
+    # a marked page's own lines are its article, whatever its neighbours share
+    other = found.where("article is null").select("page_id", "url", "texts", *content).join(kept, content)
+    other = other.select("page_id", "url", F.array_join(F.transform("keep", lambda i: F.get("texts", i)), " ").alias("text"))
+    return marked.unionByName(other).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def beside(keys: DataFrame) -> DataFrame:
