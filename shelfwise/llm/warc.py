@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import let, materialize, shared_dir, small
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-RECORDS_PER_FILE = 5000
+#: Records of a file by the size of their payloads: below the bound so many, beyond all bounds one. No file passes some 128 MB but for one larger record.
+FILES = ((16 << 10, 5000), (1 << 20, 120))
 SCHEMA = "page_id bigint, url_key string, captured_at string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, run string, place bigint"
 
 
@@ -45,7 +46,7 @@ def url_key(url: Column) -> Column:
 
 
 def records(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(url_key, captured_at, page_id, value): the text of each page's record without the two line ends after it."""
+    """(url_key, captured_at, page_id, size, value): the text of each page's record without the two line ends after it."""
     html = F.coalesce(pages["html"], F.lit(""))
     base = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), html.alias("html"), base32_sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).alias("size"))
     several = base.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -73,13 +74,21 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
         F.lit("\r\n\r\n"),
     )
     out = base.join(first, "digest", "left").withColumns({"uri": uri, "captured_at": when, "again": again}).withColumn("block", block)
-    return out.select(url_key(F.col("uri")).alias("url_key"), "captured_at", "page_id", F.concat(head, F.col("block")).alias("value"))
+    return out.select(url_key(F.col("uri")).alias("url_key"), "captured_at", "page_id", "size", F.concat(head, F.col("block")).alias("value"))
 
 
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
-    """Writes the archives: text files whose every record ends in two line ends, as the format asks."""
+    """Writes the archives: text files whose every record ends in two line ends, as the format asks. Records of like size share files."""
     runs = records(pages, least).sortWithinPartitions("url_key", "captured_at", "page_id")
-    runs.select("value").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    low, kinds = 0, []
+    for high, count in (*FILES, (None, 1)):
+        kinds.append(((F.col("size") >= low) & (F.lit(True) if high is None else F.col("size") < high), count))
+        low = high
+    sizes = pages.select(F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
+    held = sizes.agg(*[F.count_if(kind).alias(str(i)) for i, (kind, _) in enumerate(kinds)]).first()
+    for i, (kind, count) in enumerate(kinds):
+        if held[i] or not i:
+            runs.where(kind).select("value").write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", count).text(path)
 
 
 def parse(content: bytes):
@@ -101,7 +110,7 @@ def _number(record_id: str) -> int | None:
     return None if n == "none" else int(n)
 
 
-def entries(content: bytes, run: str) -> list[tuple]:
+def entries(content: bytes | memoryview, run: str) -> list[tuple]:
     """The index entries of one archive; raises if a response's bytes don't have the digest its record names."""
     out = []
     for place, (fields, block) in enumerate(parse(content)):
@@ -173,7 +182,7 @@ def read(spark, path: str, least_rows: int = 200_000) -> DataFrame:
     def scan(batches):
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
-                yield pd.DataFrame(entries(bytes(content), name), columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(entries(content, name), columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
     found = files.mapInPandas(scan, SCHEMA).withColumn("url_key", url_key(F.col("url_key")))

@@ -152,6 +152,14 @@ def test_warc_repeated_null_and_no_rows(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
+    """Records of like size share files: large ones stand in files of few."""
+    pages = [(i, f"http://h/{i}", "x" * (2_000_000 if i < 3 else 300_000 if i < 8 else 50) + str(i), 1, 1) for i in range(40)]
+    warc.write(spark.createDataFrame(pages, PAGES).coalesce(1), str(tmp_path / "w"))
+    held = sorted(sum(1 for _ in warc.parse(f.read_bytes())) for f in (tmp_path / "w").glob("*.txt"))
+    assert held == [1, 1, 1, 5, 32] and warc.read(spark, str(tmp_path / "w")).count() == 40
+
+
 def test_warc_least_size_and_damage(spark, tmp_path):
     pages = [(1, "a", "xy", 1, 1), (2, "b", "xy", 1, 1), (3, "c", "long text", 1, 1), (4, "d", "long text", 1, 1)]
     warc.write(spark.createDataFrame(pages, PAGES).coalesce(1), str(tmp_path / "a"), least=3)
