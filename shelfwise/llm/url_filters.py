@@ -6,7 +6,8 @@ fitted to the spread of the level's rates around their parents (method of moment
 bound of its posterior bad rate is above BLOCK. Rules come first.
 
 A page's outcome is the row of `labels` with its id: bad if quality is 0 or toxic is 1; several rows count as one, bad if
-any is. The registered domain is the last two labels of the host and the suffix the last.
+any is. The suffix is the last label of the host, or the last two where a country's code follows one of SECOND (co.uk); the
+registered domain is the suffix and one label more.
 
 Defined cases: a null url, or one without "://", has an empty host and path and fits no rule; hosts without outcomes get
 their parent's rate; null labels are no outcome; repeated pages each get a row and each count as an outcome; empty tables
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import materialize, small
 
 RULES = (
     ("com", "/", "allow"),
@@ -30,6 +31,8 @@ RULES = (
 BLOCK, Z = 0.5, 1.6448536269514722
 LEAST_RHO, MOST_RHO = 0.001, 0.5
 
+#: Labels under which countries register domains.
+SECOND = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "mil", "ne", "net", "nom", "or", "org")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,26 +52,25 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def suffix_of(host: Column) -> Column:
+    deep = host.rlike(f"(^|[.])({'|'.join(SECOND)})[.][a-z]{{2}}$")
+    return F.when(deep, F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def domain_of(host: Column) -> Column:
+    own = F.substring_index(host, ".", -2)
+    return F.when(suffix_of(host) == own, F.substring_index(host, ".", -3)).otherwise(own)
 
 
 def _shrunk(level: DataFrame, key: str) -> DataFrame:
-    """(key, rate, bound) from (key, n, k, mean): mean is the parent's rate. The strength is one number for the level."""
-    spread = level.where("n > 0").agg(
-        F.sum(F.col("n") * (F.col("k") / F.col("n") - F.col("mean")) * (F.col("k") / F.col("n") - F.col("mean"))).alias("q"),
-        F.sum(F.col("mean") * (1 - F.col("mean"))).alias("v"),
-        F.sum(F.col("mean") * (1 - F.col("mean")) * (F.col("n") - 1)).alias("w"),
-    )
+    """(key, rate, bound) from (key, n, k, mean), a written table: mean is the parent's rate. The strength is one number for the level."""
+    n, k, mean = F.col("n"), F.col("k"), F.col("mean")
+    spread = level.where("n > 0").agg(F.sum(n * (k / n - mean) * (k / n - mean)).alias("q"), F.sum(mean * (1 - mean)).alias("v"), F.sum(mean * (1 - mean) * (n - 1)).alias("w"))
     rho = F.greatest(F.lit(LEAST_RHO), F.least(F.lit(MOST_RHO), F.coalesce(F.try_divide(F.col("q") - F.col("v"), F.col("w")), F.lit(LEAST_RHO))))
-    strength = spread.select((1 / rho - 1).alias("m"))
-    a, b = F.col("mean") * F.col("m") + F.col("k"), (1 - F.col("mean")) * F.col("m") + F.col("n") - F.col("k")
+    m = F.lit(spread.select((1 / rho - 1).alias("m")).first()[0])
+    a, b = mean * m + k, (1 - mean) * m + n - k
     rate = a / (a + b)
-    return level.join(F.broadcast(strength)).select(key, rate.alias("rate"), (rate - F.lit(Z) * F.sqrt(rate * (1 - rate) / (a + b + 1))).alias("bound"))
+    return level.select(key, rate.alias("rate"), (rate - F.lit(Z) * F.sqrt(rate * (1 - rate) / (a + b + 1))).alias("bound"))
 
 
 def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -76,13 +78,13 @@ def reputations(pages: DataFrame, labels: DataFrame) -> DataFrame:
     bad = F.when((labels["quality"] == 0) | (labels["toxic"] == 1), 1).when(labels["quality"].isNotNull() | labels["toxic"].isNotNull(), 0)
     outcomes = labels.select(labels["doc_id"].alias("page_id"), bad.alias("bad")).groupBy("page_id").agg(F.max("bad").alias("bad"))
     hosts = pages.join(outcomes, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = materialize(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    top = suffixes.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("mean"))
-    suffixes = _shrunk(suffixes.join(F.broadcast(top)), "suffix").select("suffix", F.col("rate").alias("mean"))
-    domains = _shrunk(domains.join(suffixes, "suffix"), "domain").select("domain", F.col("rate").alias("mean"))
-    return _shrunk(hosts.join(domains, "domain"), "host")
+    top = hosts.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("mean")).first()[0]
+    level = _shrunk(materialize(suffixes.withColumn("mean", F.lit(top)), "suffixes"), "suffix").select("suffix", F.col("rate").alias("mean"))
+    level = _shrunk(materialize(domains.join(level, "suffix"), "domains"), "domain").select("domain", F.col("rate").alias("mean"))
+    return _shrunk(materialize(hosts.join(level, "domain"), "host_means"), "host")
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
@@ -118,7 +120,8 @@ WITH u AS (
 ), o AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY doc_id
 ), h0 AS (
-  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, regexp_extract(host, '([^.]*[.])?[^.]*$', 0) AS domain, string_split(host, '.')[-1] AS suffix
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, CASE WHEN regexp_matches(host, '(^|[.])({"|".join(SECOND)})[.][a-z]{{2}}$') THEN regexp_extract(host, '([^.]*[.])?([^.]*[.])?[^.]*$', 0) ELSE regexp_extract(host, '([^.]*[.])?[^.]*$', 0) END AS domain,
+    CASE WHEN regexp_matches(host, '(^|[.])({"|".join(SECOND)})[.][a-z]{{2}}$') THEN regexp_extract(host, '([^.]*[.])?[^.]*$', 0) ELSE string_split(host, '.')[-1] END AS suffix
   FROM p LEFT JOIN o ON page_id = doc_id GROUP BY host
 ), d0 AS (
   SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h0 GROUP BY domain, suffix

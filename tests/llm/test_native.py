@@ -95,6 +95,7 @@ def test_url_filters(spark):
     rng = random.Random(6)
     urls = [None, "", "no-scheme.com/a", "http://", "http://COM/x", "https://WWW.Example.com/en/a?b", "http://a.www.example.com/en/", "http://x.example.com/en", "http://net/es/1#f", "http://a.net/fr/2", "http://a.net?x=/es/", "http://É.com/en/", "//example.com/en/", "ftp://h:80/p"]
     urls += [f"http://h{i % 9}.d{i % 4}.s{i % 3}/p/{i}" for i in range(400)]
+    urls += ["http://co.uk/", "http://www.shop.co.uk/", "http://shop.co.uk/", "http://a.shop.com/"]
     pages = [(i, u, "", "clash", "clash") for i, u in enumerate(urls)] + [(3, urls[3], "", "", ""), (None, urls[5], None, None, None)]
     labels = [(i, int(rng.random() > (0.9 if (i - 14) % 9 == 2 else 0.1)), 0, "x") for i in range(414)] + [(4, None, None, None), (8, 0, 1, None), (8, 1, 0, None), (None, 0, 0, None)]
     got = url_filters.judged(spark.createDataFrame(pages, PAGES), spark.createDataFrame(labels, LABELS))
