@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import labels, markdown, scalars, text  # noqa: F401
-from ..operators import catalog, classifier, extract, history, label_reader, layout, match, products, profiles, projections, reconcile, resolve, reviews, submission  # noqa: F401
+from ..operators import catalog, classifier, extract, front_reader, history, label_reader, layout, match, online, products, profiles, projections, reconcile, resolve, reviews, submission  # noqa: F401
 from ..sources import pages  # noqa: F401
 from ..streaming import decisions  # noqa: F401
 from .registry import ORACLES, QUERIES
