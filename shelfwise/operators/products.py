@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import CAPACITY_UNITS, WEAK_TERMS, clean_candidates, identity_tokens, ngrams, norm_field, ocr_similarity, strip_brand, tokens
+from ..functions.text import CAPACITY_UNITS, WEAK_TERMS, clean_candidates, identity_tokens, ngrams, norm_field, ocr_similarity, ocr_variants, strip_brand, tokens
 from ..plans.registry import query
 from ..sources import bindings as b
+from .blocking import can_be_alike, holds
 from .catalog import catalog
 
 #: Least scores and gaps.
 BRAND, BRAND_GAP, PRODUCT, PRODUCT_ALONE, GAP, GAP_ALONE, TOKEN, SAME = 0.80, 0.05, 0.72, 0.90, 0.05, 0.08, 0.84, 0.0001
+#: Words of four letters or more that are so alike count as equal.
+NEAR_WORD = 0.8
 
 
 def _let(value: Column, body) -> Column:
@@ -118,6 +121,15 @@ def best_product(rows: Column) -> Column:
     return F.aggregate(rows, shape(F.lit(None).cast("bigint"), F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0), F.lit(0)), step)
 
 
+def alike_words(seen: DataFrame, known: DataFrame) -> DataFrame:
+    """(o, t, s): the words seen (o) that nearly equal known ones (t) in any of their readings. Words meet where they share letters, not all with all."""
+    read = seen.select("o", F.explode(ocr_variants(norm_field(F.col("o")))).alias("s"))
+    said = read.select("s").distinct()
+    met = can_be_alike(said, known, NEAR_WORD).unionByName(holds(said, known)).distinct()
+    pairs = read.join(met, "s").select("o", "t").distinct()
+    return pairs.withColumn("s", ocr_similarity(F.col("o"), F.col("t"))).where(F.col("s") >= TOKEN)
+
+
 def brands_of(fronts: DataFrame, items: DataFrame) -> DataFrame:
     """(scan_id, brand, cand, score, second): the brand that any brand candidate names, or else any product candidate.
 
@@ -146,7 +158,7 @@ def scored(fronts: DataFrame, items: DataFrame, brands: DataFrame) -> DataFrame:
     names = named.select("own", "full").distinct()
     seen = sets.select("cid", F.explode(F.array_distinct(F.flatten(F.transform("cands", tokens)))).alias("o"))
     words = names.select("own", "full", F.explode(F.array_union(tokens(F.col("full")), tokens(strip_brand(F.col("full"), F.col("own"))))).alias("t"))
-    near = seen.select("o").distinct().join(words.select("t").distinct(), F.lit(True)).withColumn("s", ocr_similarity(F.col("o"), F.col("t"))).where(F.col("s") >= TOKEN)
+    near = alike_words(seen.select("o").distinct(), words.select("t").distinct())
     alike = seen.join(near, "o")
     known = alike.groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("o", F.lit("|"), "t"), "s"))).alias("known"))
     met = alike.select("cid", "t").distinct().join(words, "t").select("cid", "own", "full").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.text import char_similarity, norm_ingredient_key
 from ..plans.registry import query
 from ..sources import bindings as b
+from .blocking import can_be_alike
 
 #: Ingredient names that are known without a catalogue.
 VOCABULARY = tuple(
@@ -88,13 +89,12 @@ def exact(keys: DataFrame, index: DataFrame) -> DataFrame:
 def fuzzy(keys: DataFrame, index: DataFrame) -> DataFrame:
     """(key, best, ids, source): the best score of any ingredient and the up to three ids within its margin, the best first.
 
-    Only names whose length is near enough to reach the least score less the margin are compared: a join on lengths.
+    Keys and names meet where they share letters as strings so alike must; see blocking.
     """
-    least = F.when(F.length("key") <= SHORT, LEAST_SHORT).otherwise(LEAST_LONG)
-    low = least - MARGIN
-    sized = keys.where(F.length("key") >= 5).withColumn("least", least)
-    sized = sized.withColumn("size", F.explode(F.sequence(F.ceil(F.length("key") * low).cast("int"), F.floor(F.length("key") / low).cast("int"))))
-    near = sized.join(index.select(F.col("key").alias("name"), "id", "source", "rank", F.length("key").alias("size")), "size")
+    names = index.select(F.col("key").alias("name"), "id", "source", "rank")
+    long_enough = keys.where(F.length("key") >= 5).select(F.col("key").alias("s"))
+    met = can_be_alike(long_enough, names.select(F.col("name").alias("t")).distinct(), LEAST_LONG - MARGIN).toDF("key", "name")
+    near = met.withColumn("least", F.when(F.length("key") <= SHORT, LEAST_SHORT).otherwise(LEAST_LONG)).join(names, "name")
     scored = near.withColumn("score", char_similarity(F.col("key"), F.col("name"))).where(F.col("score") > F.col("least") - MARGIN)
     best = scored.groupBy("key", "least", "id").agg(F.max(F.struct("score", (-F.col("rank")).alias("r"))).alias("m"))
     ranked = best.select("key", "least", "id", F.col("m.score").alias("score"), (-F.col("m.r")).alias("rank"))
