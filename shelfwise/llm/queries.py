@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP8_SQL, op8_benchmark_decontamination
 from .html_extraction import op9_html_extraction
 from .line_dedup import op4_line_dedup
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .ngram_join import op1_ngram_jaccard_join
 from .packing import op2_best_fit_packing
 from .quality_rules import OP7_SQL, op7_quality_rules
@@ -26,6 +27,7 @@ QUERIES = {
         op8_benchmark_decontamination,
         op9_html_extraction,
         op10_suffix_array_dedup,
+        op13_merkle_manifest,
     )
 }
-ORACLES = {"op5_warc": OP5_SQL, "op6_url_filters": OP6_SQL, "op7_quality_rules": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL}
+ORACLES = {"op5_warc": OP5_SQL, "op6_url_filters": OP6_SQL, "op7_quality_rules": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL, "op13_merkle_manifest": OP13_SQL}
