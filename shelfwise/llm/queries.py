@@ -9,6 +9,7 @@ from .merkle import OP13_SQL, op13_merkle_manifest
 from .ngram_join import op1_ngram_jaccard_join
 from .packing import op2_best_fit_packing
 from .quality_rules import OP7_SQL, op7_quality_rules
+from .spelling import OP11_SQL, op11_spelling_variants
 from .suffix_dedup import op10_suffix_array_dedup
 from .toxicity import op3_toxicity
 from .url_filters import OP6_SQL, op6_url_filters
@@ -27,7 +28,8 @@ QUERIES = {
         op8_benchmark_decontamination,
         op9_html_extraction,
         op10_suffix_array_dedup,
+        op11_spelling_variants,
         op13_merkle_manifest,
     )
 }
-ORACLES = {"op5_warc": OP5_SQL, "op6_url_filters": OP6_SQL, "op7_quality_rules": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLES = {"op5_warc": OP5_SQL, "op6_url_filters": OP6_SQL, "op7_quality_rules": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL, "op11_spelling_variants": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
