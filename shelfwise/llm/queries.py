@@ -8,6 +8,7 @@ from .line_dedup import op4_line_dedup
 from .merkle import OP13_SQL, op13_merkle_manifest
 from .ngram_join import op1_ngram_jaccard_join
 from .packing import op2_best_fit_packing
+from .pii import OP12_SQL, op12_pii
 from .quality_rules import OP7_SQL, op7_quality_rules
 from .spelling import OP11_SQL, op11_spelling_variants
 from .suffix_dedup import op10_suffix_array_dedup
@@ -29,7 +30,16 @@ QUERIES = {
         op9_html_extraction,
         op10_suffix_array_dedup,
         op11_spelling_variants,
+        op12_pii,
         op13_merkle_manifest,
     )
 }
-ORACLES = {"op5_warc": OP5_SQL, "op6_url_filters": OP6_SQL, "op7_quality_rules": OP7_SQL, "op8_benchmark_decontamination": OP8_SQL, "op11_spelling_variants": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLES = {
+    "op5_warc": OP5_SQL,
+    "op6_url_filters": OP6_SQL,
+    "op7_quality_rules": OP7_SQL,
+    "op8_benchmark_decontamination": OP8_SQL,
+    "op11_spelling_variants": OP11_SQL,
+    "op12_pii": OP12_SQL,
+    "op13_merkle_manifest": OP13_SQL,
+}
