@@ -115,7 +115,8 @@ def disclosing(docs: DataFrame, keyed: DataFrame, window: int = WINDOW, support:
     wanted = materialize(pairs.select("term").distinct(), "terms")
     text = F.coalesce(docs["text"], F.lit(""))
     # each word of every text; only those that stand beside an entity often enough are counted
-    words = docs.select(text_key(docs["text"]).alias("key"), F.explode(F.split(text, f"[^{_TERM}]+")).alias("w")).select("key", F.lower("w").alias("term"))
+    cut = docs.select(text_key(docs["text"]).alias("key"), F.split(text, f"[^{_TERM}]+").alias("ws"))
+    words = cut.select("key", F.explode("ws").alias("w")).select("key", F.lower("w").alias("term"))
     counted = words.join(small(wanted), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     own = lambda first, rest: F.coalesce(text.rlike(f"(?<![{_TERM}]){first}{rest}(?![{_TERM}])"), F.lit(False)).cast("int")
     flags = (own("[0-9]", "[0-9]*"), own(f"(?=[{_TERM}]*[0-9])(?![0-9]+(?![{_TERM}]))", f"[{_TERM}]+"))
