@@ -155,6 +155,8 @@ def judged(docs: DataFrame, **limits) -> DataFrame:
     written = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), x["kind"]), x["start"], x["stop"])), ",")
     one = spans.groupBy("key").agg(*[F.count_if(kind == i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.count_if(kind >= len(BASE)).alias("n_terms"), held.alias("held"))
     one = one.withColumn("base", written(F.filter("held", lambda x: x["kind"] < len(BASE)))).withColumn("spans", written(F.col("held"))).drop("held")
+    # a table, so that the join with the copies of one text is one that Spark can split
+    one = materialize(one, "per_text")
     out = docs.select(docs["doc_id"].alias("doc_id"), text_key(docs["text"]).alias("key")).join(one, "key", "left")
     number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", *[number(f"n_{k}") for k in BASE], F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), number("n_terms"))
