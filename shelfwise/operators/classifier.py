@@ -2,7 +2,7 @@
 
 `labels` is (scan_id, text, has_brand, has_product, has_presentation, has_capacity); `terms` is (kind, name, precise, alias), a
 small table that the caller may replace: kinds are CATEGORY, CONTEXT, STRUCTURE, SUPPORT, FORMULA, OTHER (no cosmetic), UI (a
-screen, no label), BRAND and FORM. An alias is met as whole words; one word of seven letters or more also by a word within
+screen, no label: callers add the names of their own app), BRAND and FORM. An alias is met as whole words; one word of seven letters or more also by a word within
 one edit (two beyond twelve letters), found through the words that both become by leaving letters out.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sizes import small
 from ..functions.text import norm_field
 from ..plans.registry import query
 from ..sources import bindings as b
@@ -49,8 +50,8 @@ SUPPORT = {
 }
 FORMULA = ("AQUA", "PARFUM", "GLYCERIN", "GLYCERINE", "DIMETHICONOL", "LIMONENE", "LINALOOL", "CITRIC ACID", "SODIUM BENZOATE", "TOCOPHEROL", "BUTANE", "ISOBUTANE", "PROPANE")
 UI = {
-    "android": ("ANDROID", "ANDROID V"), "logcat": ("LOGCAT",), "login": ("LOGINACTIVITY",), "menu": ("MENUACTIVITY",), "controller": ("SCANCONTROLLER",), "analyzer": ("CANFRONTANALYZERJAVA",),
-    "wifi": ("WIFISTAIFACEHIDLIMPL",), "surface": ("SURFACEFLINGER",), "app": ("VENUSMOBILE",), "package": ("COM VENUSSYSTEM",), "source": ("SRC MAIN JAVA",), "server": ("SYSTEM SERVER",),
+    "android": ("ANDROID", "ANDROID V"), "logcat": ("LOGCAT",), "login": ("LOGINACTIVITY",), "menu": ("MENUACTIVITY",),
+    "wifi": ("WIFISTAIFACEHIDLIMPL",), "surface": ("SURFACEFLINGER",), "source": ("SRC MAIN JAVA",), "server": ("SYSTEM SERVER",),
     "device": ("SAMSUNG", "SM S911B"), "keys": ("CTRL", "CTRL I", "CTRL TL"),
 }
 FORM = {"cream": ("CREME", "CREAM"), "lotion": ("LOCAO", "LOTION"), "gel": ("GEL",), "oil": ("OLEO", "OIL"), "soap": ("SOAP",)}
@@ -98,11 +99,11 @@ def met(labels: DataFrame, terms: DataFrame, kinds: tuple[str, ...] = KINDS) ->
     wanted = terms.where(F.col("kind").isin(*kinds))
     said = labels.select("scan_id", F.filter(F.split(norm_field(F.col("text")), " +"), lambda t: t != "").alias("w"))
     runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(WORDS)), lambda k: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - k)), lambda i: F.array_join(F.slice("w", i + 1, k), " ")))))
-    exact = said.where(F.size("w") > 0).select("scan_id", F.explode(runs).alias("alias")).join(F.broadcast(wanted), "alias").select("scan_id", "kind", "name", "precise")
+    exact = said.where(F.size("w") > 0).select("scan_id", F.explode(runs).alias("alias")).join(small(wanted), "alias").select("scan_id", "kind", "name", "precise")
     # the parts of screens and forms of products are met as they are written
     loose = wanted.where(~F.col("kind").isin("UI", "FORM", "BRAND") & (F.length("alias") >= NEAR_FROM) & ~F.col("alias").contains(" "))
     words = said.select(F.explode(F.array_distinct("w")).alias("word")).distinct().where(F.length("word") >= NEAR_FROM - 1)
-    pairs = words.withColumn("v", F.explode(without_letters(F.col("word")))).join(F.broadcast(loose.select("kind", "name", "precise", "alias", F.explode(without_letters(F.col("alias"))).alias("v"))), "v")
+    pairs = words.withColumn("v", F.explode(without_letters(F.col("word")))).join(small(loose.select("kind", "name", "precise", "alias", F.explode(without_letters(F.col("alias"))).alias("v"))), "v")
     most = F.when(F.length("alias") <= FAR_FROM, 1).otherwise(2)
     near = pairs.where(F.levenshtein("word", "alias") <= most).select("word", "kind", "name", "precise").distinct()
     by_word = said.select("scan_id", F.explode(F.array_distinct("w")).alias("word")).join(near, "word").select("scan_id", "kind", "name", "precise")

@@ -25,9 +25,10 @@ CONDITIONS = ("acneProne", "hasRosacea", "hasEczema", "hasHyperpigmentation", "h
 #: Tags that an option stands for.
 OPTION_TAGS = {"sem-alcool": ("sem-alcool",), "sem-oleo": ("sem-oleo",), "natural": ("natural", "ingredientes-naturais"), "organico": ("organico",), "hipoalergenico": ("hipoalergenico",)}
 #: Words on a label's front that say little.
-GENERIC = tuple(
-    "CREME LOCAO GEL SPRAY AEROSOL FRESH ORIGINAL PROTECAO ANTITRANSPIRANTE ANTIPERSPIRANTE PERFUME MASCULINO FEMININO INFANTIL DESODORANTE HIDRATANTE NOVO NOVA SHAMPOO CONDICIONADOR SABONETE LOÇÃO "
-    "BODY LOTION DEODORANT KIT PRODUTO CUIDADO CUIDADOS CONTROLE INTELIGENTE ODOR ODORE SUOR INVISIBLE".split()
+GENERIC = (
+    "CREME", "LOCAO", "GEL", "SPRAY", "AEROSOL", "FRESH", "ORIGINAL", "PROTECAO", "ANTITRANSPIRANTE", "ANTIPERSPIRANTE", "PERFUME", "MASCULINO", "FEMININO", "INFANTIL", "DESODORANTE",
+    "HIDRATANTE", "NOVO", "NOVA", "SHAMPOO", "CONDICIONADOR", "SABONETE", "LOÇÃO", "BODY", "LOTION", "DEODORANT", "KIT", "PRODUTO", "CUIDADO", "CUIDADOS", "CONTROLE", "INTELIGENTE", "ODOR",
+    "ODORE", "SUOR", "INVISIBLE",
 )
 
 
@@ -122,9 +123,9 @@ def join_allergy_choice(spark, sf_dir):
     return chosen_allergies(_people(spark, sf_dir), spark.createDataFrame([(7, "NATURAL"), (8, "outra"), (9, "nada"), (None, "outra")], "id bigint, name string"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'alergia a ' || lower(n_name) || ',' ELSE '' END || 'sem ' || lower(n_name) AS labels FROM nation WHERE n_name NOT LIKE '% %'")
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'alergia a ' || lower(n_name) || ',' ELSE '' END || 'sem ' || lower(n_name) AS labels FROM nation")
 def sort_labels(spark, sf_dir):
-    n = b.table(spark, sf_dir, "nation").where(~F.col("n_name").contains(" "))
+    n = b.table(spark, sf_dir, "nation")
     name = F.lower("n_name")
     return n.select("n_nationkey", F.array_join(labels(F.array(F.concat(F.lit("sem-"), name), F.concat(F.lit("sem-"), name)), F.when(F.col("n_nationkey") % 2 == 0, F.array(name)).otherwise(F.array().cast("array<string>"))), ",").alias("labels"))
 

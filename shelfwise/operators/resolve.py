@@ -12,18 +12,19 @@ from ..sources import bindings as b
 from .blocking import can_be_alike
 
 #: Ingredient names that are known without a catalogue.
-VOCABULARY = tuple(
-    x.strip()
-    for x in """AQUA, WATER, GLYCERIN, GLYCINE, PARFUM, FRAGRANCE, ALCOHOL, PROPANEDIOL, BUTANE, ISOBUTANE, PROPANE, CYCLOPENTASILOXANE, HELIANTHUS ANNUUS SEED OIL, OCTYLDODECANOL,
-DIMETHICONE, DIMETHICONOL, CARBOMER, TOCOPHEROL, NIACINAMIDE, PANTHENOL, SODIUM CHLORIDE, CALCIUM CHLORIDE, SODIUM HYDROXIDE, CITRIC ACID, LACTIC ACID, SALICYLIC ACID, BENZYL ALCOHOL,
-BENZYL SALICYLATE, LINALOOL, LIMONENE, HEXYL CINNAMAL, ALPHA-ISOMETHYL IONONE, COUMARIN, CITRONELLOL, GERANIOL, CITRAL, EUGENOL, SODIUM BENZOATE, POTASSIUM SORBATE, PHENOXYETHANOL,
-DISODIUM EDTA, MICA, TITANIUM DIOXIDE, IRON OXIDES, ZINC OXIDE, TALC, SILICA, KAOLIN, ALUMINA, PROPYLENE CARBONATE, CAPRYLYL GLYCOL, CETEARYL ALCOHOL, CETYL ALCOHOL, STEARYL ALCOHOL,
-GLYCERYL STEARATE, PPG-15 STEARYL ETHER, STEARETH-20, STEARETH-2, PENTAERYTHRITYL TETRA-DI-T-BUTYL HYDROXYHYDROCINNAMATE, GELATIN CROSSPOLYMER, POLYQUATERNIUM-10, BEHENTRIMONIUM CHLORIDE,
-CETRIMONIUM CHLORIDE, SODIUM LAURYL SULFATE, SODIUM LAURETH SULFATE, COCAMIDOPROPYL BETAINE, COCO-GLUCOSIDE, DECYL GLUCOSIDE, SODIUM PCA, ARGININE, BIOTIN, CAFFEINE, SQUALANE, CINNAMAL,
-DISTEARDIMONIUM HECTORITE, PROPYLENE GLYCOL, BUTYLENE GLYCOL, CAPRYLIC/CAPRIC TRIGLYCERIDE, C12-15 ALKYL BENZOATE, ISOPROPYL MYRISTATE, ALUMINUM SESQUICHLOROHYDRATE, PPG-14 BUTYL ETHER,
-QUATERNIUM-18 HECTORITE, 2-METHYL-5-CYCLOHEXYLPENTANOL, TOCOPHERYL ACETATE, GOSSYPIUM HERBACEUM SEED OIL, BUTYROSPERMUM PARKII BUTTER, MACADAMIA TERNIFOLIA SEED OIL,
-COCOS NUCIFERA FRUIT EXTRACT, CHAMOMILLA RECUTITA FLOWER EXTRACT, ALOE BARBADENSIS LEAF EXTRACT, CAMELLIA SINENSIS LEAF EXTRACT, CINNAMOMUM ZEYLANICUM BARK EXTRACT,
-COMMIPHORA EUROPAEA FRUIT OIL, ARGANIA SPINOSA KERNEL OIL, MYRRHA RESIN EXTRACT, LECITHIN, POLYGLYCERYL-3 DIISOSTEARATE, HYDROXYCITRONELLAL""".split(",")
+VOCABULARY = (
+    "AQUA", "WATER", "GLYCERIN", "GLYCINE", "PARFUM", "FRAGRANCE", "ALCOHOL", "PROPANEDIOL", "BUTANE", "ISOBUTANE", "PROPANE", "CYCLOPENTASILOXANE", "HELIANTHUS ANNUUS SEED OIL",
+    "OCTYLDODECANOL", "DIMETHICONE", "DIMETHICONOL", "CARBOMER", "TOCOPHEROL", "NIACINAMIDE", "PANTHENOL", "SODIUM CHLORIDE", "CALCIUM CHLORIDE", "SODIUM HYDROXIDE", "CITRIC ACID",
+    "LACTIC ACID", "SALICYLIC ACID", "BENZYL ALCOHOL", "BENZYL SALICYLATE", "LINALOOL", "LIMONENE", "HEXYL CINNAMAL", "ALPHA-ISOMETHYL IONONE", "COUMARIN", "CITRONELLOL", "GERANIOL",
+    "CITRAL", "EUGENOL", "SODIUM BENZOATE", "POTASSIUM SORBATE", "PHENOXYETHANOL", "DISODIUM EDTA", "MICA", "TITANIUM DIOXIDE", "IRON OXIDES", "ZINC OXIDE", "TALC", "SILICA", "KAOLIN",
+    "ALUMINA", "PROPYLENE CARBONATE", "CAPRYLYL GLYCOL", "CETEARYL ALCOHOL", "CETYL ALCOHOL", "STEARYL ALCOHOL", "GLYCERYL STEARATE", "PPG-15 STEARYL ETHER", "STEARETH-20", "STEARETH-2",
+    "PENTAERYTHRITYL TETRA-DI-T-BUTYL HYDROXYHYDROCINNAMATE", "GELATIN CROSSPOLYMER", "POLYQUATERNIUM-10", "BEHENTRIMONIUM CHLORIDE", "CETRIMONIUM CHLORIDE", "SODIUM LAURYL SULFATE",
+    "SODIUM LAURETH SULFATE", "COCAMIDOPROPYL BETAINE", "COCO-GLUCOSIDE", "DECYL GLUCOSIDE", "SODIUM PCA", "ARGININE", "BIOTIN", "CAFFEINE", "SQUALANE", "CINNAMAL",
+    "DISTEARDIMONIUM HECTORITE", "PROPYLENE GLYCOL", "BUTYLENE GLYCOL", "CAPRYLIC/CAPRIC TRIGLYCERIDE", "C12-15 ALKYL BENZOATE", "ISOPROPYL MYRISTATE", "ALUMINUM SESQUICHLOROHYDRATE",
+    "PPG-14 BUTYL ETHER", "QUATERNIUM-18 HECTORITE", "2-METHYL-5-CYCLOHEXYLPENTANOL", "TOCOPHERYL ACETATE", "GOSSYPIUM HERBACEUM SEED OIL", "BUTYROSPERMUM PARKII BUTTER",
+    "MACADAMIA TERNIFOLIA SEED OIL", "COCOS NUCIFERA FRUIT EXTRACT", "CHAMOMILLA RECUTITA FLOWER EXTRACT", "ALOE BARBADENSIS LEAF EXTRACT", "CAMELLIA SINENSIS LEAF EXTRACT",
+    "CINNAMOMUM ZEYLANICUM BARK EXTRACT", "COMMIPHORA EUROPAEA FRUIT OIL", "ARGANIA SPINOSA KERNEL OIL", "MYRRHA RESIN EXTRACT", "LECITHIN", "POLYGLYCERYL-3 DIISOSTEARATE",
+    "HYDROXYCITRONELLAL",
 )
 #: Known misreadings and what they stand for.
 MISREADINGS = {
