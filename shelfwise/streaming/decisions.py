@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.reconcile import DECIDED
 from ..plans.registry import query
 from ..sources import bindings as b
+from . import polls
 
 MOST_ATTEMPTS, LEAST_AGE_MS = 6, 120_000
 
@@ -32,20 +33,11 @@ def poll(status: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def start(stream: DataFrame, folder: str, checkpoint: str):
-    """Runs a poll for each micro-batch of status rows. Batch k reads state k - 1 and writes state and news k, so a repeated batch gives the same files."""
-
-    def each(batch: DataFrame, k: int) -> None:
-        spark = batch.sparkSession
-        seen = spark.read.parquet(f"{folder}/state/{k - 1}") if k else state_of(latest(batch).limit(0))
-        before = spark.read.parquet(f"{folder}/rows/{k - 1}") if k else batch.limit(0)
-        rows = before.unionByName(batch)
-        rows = rows.join(rows.groupBy("uid", "scan_id").agg(F.max("ord").alias("ord")), ["uid", "scan_id", "ord"], "left_semi")
-        rows.write.mode("overwrite").parquet(f"{folder}/rows/{k}")
-        fresh, state = poll(latest(spark.read.parquet(f"{folder}/rows/{k}")), seen)
-        state.write.mode("overwrite").parquet(f"{folder}/state/{k}")
-        fresh.write.mode("overwrite").parquet(f"{folder}/news/{k}")
-
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a poll for each micro-batch of status rows and writes what it tells to news/k; a repeated batch gives the same files. State is keyed (see polls)."""
+    for key, value in polls.STORE.items():
+        stream.sparkSession.conf.set(key, value)
+    each = lambda batch, k: batch.select("uid", "scan_id").write.mode("overwrite").parquet(f"{folder}/news/{k}")
+    return polls.news(stream, None).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def next_stage(uploaded: Column, checked: Column, submitted: Column) -> Column:
