@@ -1,4 +1,4 @@
-"""Quality of photos: pixels of decoded images as rows, and their light, sharpness and background by one aggregation.
+"""Quality of photos: light, sharpness and background of decoded images, by a stencil over each image in Arrow batches.
 
 Images have the columns of Spark's own image source (spark.read.format("image")): origin, height, width, nChannels, mode and
 data, bytes of blue, green and red row by row.
@@ -6,8 +6,13 @@ data, bytes of blue, green and red row by row.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.registry import query
 from ..sources import bindings as b
@@ -39,28 +44,40 @@ def pixels(images: DataFrame) -> DataFrame:
     return each.select("origin", "width", "height", "x", "y", g.alias("g"))
 
 
-def measured(spots: DataFrame) -> DataFrame:
-    """(origin, blur, brightness, background_ok) of images from their pixels; the outermost pixels only serve their neighbours.
-
-    Every pixel is given to itself and to its four neighbours, so that one aggregation by place finds how each differs
-    from those around it. Sums are of whole numbers.
-    """
-    near = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(own).alias("own"), F.lit(weight).alias("weight")) for dx, dy, own, weight in ((0, 0, 1, -4), (1, 0, 0, 1), (-1, 0, 0, 1), (0, 1, 0, 1), (0, -1, 0, 1))])
-    given = spots.select("origin", "width", "height", "x", "y", "g", F.explode(near).alias("n"))
-    given = given.select("origin", "width", "height", (F.col("x") + F.col("n.dx")).alias("x"), (F.col("y") + F.col("n.dy")).alias("y"), (F.col("g") * F.col("n.own")).alias("own"), (F.col("g") * F.col("n.weight")).alias("part"))
-    inside = given.where("x between 1 and width - 2 and y between 1 and height - 2")
-    place = inside.groupBy("origin", "width", "height", "x", "y").agg(F.sum("own").alias("c"), F.sum("part").alias("lap"))
-    w, h, x, y = F.col("width"), F.col("height"), F.col("x"), F.col("y")
-    edge = (x < w * BORDER) | (x >= w * (1 - BORDER)) | (y < h * BORDER) | (y >= h * (1 - BORDER))
-    place = place.withColumn("edge", edge)
-    sums = lambda name, value, keep=F.lit(True): [F.sum(F.when(keep, value)).alias(name), F.sum(F.when(keep, (value * value).cast("decimal(38,0)"))).alias(f"{name}2"), F.count_if(keep).alias(f"{name}_n")]
-    c, border = F.col("c"), F.col("edge")
-    total = place.groupBy("origin").agg(*sums("all", c), *sums("lap", F.col("lap")), *sums("rim", c, border), *sums("mid", c, ~border))
-    mean = lambda k: F.col(k) / F.col(f"{k}_n") / float(FULL)
-    spread = lambda k: F.greatest(F.lit(0.0), F.col(f"{k}2").cast("double") / F.col(f"{k}_n") / float(FULL) ** 2 - mean(k) * mean(k))
+SUMS = ("n", "all", "all2", "lap", "lap2", "rim_n", "rim", "rim2")
+
+
+@F.arrow_udf(T.StructType([T.StructField(k, T.DecimalType(38, 0)) for k in SUMS]))
+def stencil(data: pa.Array, width: pa.Array, height: pa.Array, channels: pa.Array, step: pa.Array) -> pa.Array:
+    """Sums over an image's inner pixels: light, light squared, the difference to the four neighbours and its square, and light in the border. Whole numbers in FULL parts."""
+    out = []
+    for body, w0, h0, k, by in zip(data, width.to_pylist(), height.to_pylist(), channels.to_pylist(), step.to_pylist()):
+        cells = np.frombuffer(body.as_buffer(), np.uint8)[: w0 * h0 * k].reshape(h0, w0, k)[: h0 // by * by : by, : w0 // by * by : by].astype(np.int64)
+        g = cells[..., 0] * (RED + GREEN + BLUE) if k == 1 else cells[..., 2] * RED + cells[..., 1] * GREEN + cells[..., 0] * BLUE
+        h, w = g.shape
+        c = g[1:-1, 1:-1]
+        lap = g[1:-1, :-2] + g[1:-1, 2:] + g[:-2, 1:-1] + g[2:, 1:-1] - 4 * c
+        x, y = np.arange(1, max(w - 1, 1)), np.arange(1, max(h - 1, 1))[:, None]
+        rim = (x < w * BORDER) | (x >= w * (1 - BORDER)) | (y < h * BORDER) | (y >= h * (1 - BORDER))
+        # squares are added up row by row in 64 bits and then without a bound
+        total = lambda v: sum(v.sum(axis=1).tolist())
+        own = c * rim
+        values = (c.size, total(c), total(c * c), total(lap), total(lap * lap), int(rim.sum()), total(own), total(own * own))
+        out.append(dict(zip(SUMS, map(Decimal, values))))
+    return pa.array(out, pa.struct([(k, pa.decimal128(38, 0)) for k in SUMS]))
+
+
+def measured(images: DataFrame) -> DataFrame:
+    """(origin, blur, brightness, background_ok) of checked images without fault; the outermost pixels only serve their neighbours. Each image is read where it lies: no pixel is shuffled."""
+    usable = images.where("fault is null and width > 2 * step and height > 2 * step")
+    sums = usable.select("origin", stencil("data", "width", "height", "nChannels", "step").alias("s")).select("origin", *[F.col(f"s.{k}").cast("double").alias(k) for k in SUMS]).where("n > 0")
+    sums = sums.withColumns({"all_n": F.col("n"), "lap_n": F.col("n"), "mid_n": F.col("n") - F.col("rim_n"), "mid": F.col("all") - F.col("rim")})
+    mean = lambda k: F.try_divide(F.col(k), F.col(f"{k}_n")) / float(FULL)
+    spread = lambda k: F.greatest(F.lit(0.0), F.try_divide(F.col(f"{k}2"), F.col(f"{k}_n")) / float(FULL) ** 2 - mean(k) * mean(k))
     middle = F.when(F.col("mid_n") == 0, mean("all")).otherwise(mean("mid"))
-    background = (spread("rim") < BORDER_SPREAD) & (F.abs(mean("rim") - middle) < LIGHT_GAP) & (spread("all") > LEAST_SPREAD)
-    return total.select("origin", (1 / (1 + spread("lap") / SHARP)).alias("blur"), mean("all").alias("brightness"), background.alias("background_ok"))
+    border = F.when(F.col("rim_n") == 0, F.lit(1.0)).otherwise(spread("rim"))
+    background = (border < BORDER_SPREAD) & (F.abs(F.coalesce(mean("rim"), F.lit(0.0)) - middle) < LIGHT_GAP) & (spread("all") > LEAST_SPREAD)
+    return sums.select("origin", (1 / (1 + spread("lap") / SHARP)).alias("blur"), mean("all").alias("brightness"), background.alias("background_ok"))
 
 
 # -- queries: a made-up image for each supplier
@@ -106,5 +123,5 @@ SELECT s_suppkey::VARCHAR AS origin, round(1.0::DOUBLE / (1.0::DOUBLE + greatest
 )
 def agg_image_stats(spark, sf_dir):
     """Measures to nine decimals."""
-    m = measured(pixels(checked(images(spark, sf_dir), long=1, short=1)))
+    m = measured(checked(images(spark, sf_dir), long=1, short=1))
     return m.select("origin", F.round("blur", 9).alias("blur"), F.round("brightness", 9).alias("brightness"), "background_ok")

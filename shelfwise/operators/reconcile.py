@@ -133,12 +133,6 @@ def set_like_unlike(spark, sf_dir):
     return like_state(b.like(spark, sf_dir))
 
 
-@query(b.ctes("likes") + "SELECT uid, product_id, CASE WHEN arg_max(liked, ord) THEN 'like' ELSE 'unlike' END AS send FROM likes GROUP BY uid, product_id")
-def sink_rest_write(spark, sf_dir):
-    """Writes to the server are rows of an action table, not side effects."""
-    return queues(b.like(spark, sf_dir))
-
-
 @query(
     b.ctes("favourite")
     + """, o AS (SELECT uid, side, product_id, min(id) AS id FROM favourite GROUP BY ALL),
@@ -207,15 +201,3 @@ def sort_favourites(spark, sf_dir):
 def sort_list_items(spark, sf_dir):
     rows = F.array_sort(F.collect_list(F.struct((-F.coalesce("l_linenumber", F.lit(0))).alias("p"), "l_partkey")))
     return b.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(rows, lambda x: x["l_partkey"].cast("string")), ",").alias("items"))
-
-
-@query("WITH " + _LISTS + " SELECT id, CASE WHEN remote IS NULL THEN 'insert' ELSE 'update' END AS op, local AS name FROM lists WHERE local IS NOT NULL")
-def sink_upsert(spark, sf_dir):
-    x = lists(spark, sf_dir).where("local is not null")
-    return x.select("id", F.when(F.col("remote").isNull(), "insert").otherwise("update").alias("op"), F.col("local").alias("name"))
-
-
-@query(b.ctes("favourite") + ", d AS (SELECT uid, product_id, min(id) AS id FROM favourite WHERE side = 'local' GROUP BY ALL) SELECT uid, product_id, (row_number() OVER (PARTITION BY uid ORDER BY id) - 1)::INT AS position FROM d")
-def sink_replace_list(spark, sf_dir):
-    f = b.favourite(spark, sf_dir).where("side = 'local'").groupBy("uid", "product_id").agg(F.min("id").alias("id"))
-    return f.select("uid", "product_id", (F.row_number().over(Window.partitionBy("uid").orderBy("id")) - 1).alias("position"))

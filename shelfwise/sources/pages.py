@@ -97,19 +97,6 @@ def src_page_loop_favs(spark, sf_dir):
     return read_rows(rows, pages, F.col("last") | (F.col("size") == 0)).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_custkey AS key, o_orderkey AS id, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1) // 5)::INT AS page FROM orders")
-def src_rest_paged(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")
-    return b.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"), F.floor((F.row_number().over(w) - 1) / SIZE).cast("int").alias("page"))
-
-
-@query("SELECT 'products' AS relation, count(*) AS n FROM part UNION ALL SELECT 'brands', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'categories', count(DISTINCT p_type) FROM part UNION ALL SELECT 'orders', count(*) FROM orders")
-def src_rest_list(spark, sf_dir):
-    p, o = b.table(spark, sf_dir, "part"), b.table(spark, sf_dir, "orders")
-    one = lambda name, df: df.select(F.lit(name).alias("relation"), "n")
-    return one("products", p.agg(F.count("*").alias("n"))).unionByName(one("brands", p.agg(F.count_distinct("p_brand").alias("n")))).unionByName(one("categories", p.agg(F.count_distinct("p_type").alias("n")))).unionByName(one("orders", o.agg(F.count("*").alias("n"))))
-
-
 @query("SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 0 ELSE 2 END AS n, CASE WHEN event_id % 3 = 1 THEN '' ELSE event_type || ',' || user_id END AS items FROM events")
 def src_prefs_json(spark, sf_dir):
     text = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit('["'), "event_type")).otherwise(F.to_json(F.array(F.col("event_type"), F.lit(None), F.col("user_id").cast("string"))))
@@ -140,9 +127,3 @@ def src_snapshot_ttl(spark, sf_dir):
 @query("SELECT conv_id, turn, role, length(text) AS n FROM conversations")
 def src_room(spark, sf_dir):
     return b.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n"))
-
-
-@query("SELECT doc_id, sha256(text) AS digest, 'WAITING_UPLOAD' AS state FROM documents")
-def sink_draft_json(spark, sf_dir):
-    """What a stored draft records: the digest of its evidence and its state."""
-    return b.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.lit("WAITING_UPLOAD").alias("state"))

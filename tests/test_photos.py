@@ -35,7 +35,7 @@ def test_measures_of_decoded_images(spark, tmp_path):
     for name, pixel in made.items():
         (tmp_path / f"{name}.png").write_bytes(png(24, 20, pixel))
     images = spark.read.format("image").load(str(tmp_path)).select("image.*")
-    got = {r.origin.rsplit("/", 1)[1][:-4]: r for r in photos.measured(photos.pixels(photos.checked(images, long=1, short=1))).collect()}
+    got = {r.origin.rsplit("/", 1)[1][:-4]: r for r in photos.measured(photos.checked(images, long=1, short=1)).collect()}
     for name, pixel in made.items():
         gray = lambda x, y: sum(w * v for w, v in zip((0.299, 0.587, 0.114), pixel(x, y))) / 255  # noqa: E731, B023
         blur, light, background = measures(24, 20, gray)
@@ -47,3 +47,16 @@ def test_sizes(spark):
     got = {r.origin: (r.fault, r.step) for r in photos.checked(spark.createDataFrame(rows, "origin string, width int, height int")).collect()}
     low = "RESOLUTION_TOO_LOW"
     assert got == {"a": (None, 2), "b": (low, 2), "c": (None, 2), "d": (low, 2), "e": (None, 2), "f": (None, 2), "g": (None, 8), "h": (None, 4)}
+
+
+def test_no_pixel_is_shuffled(spark, tmp_path):
+    (tmp_path / "big.png").write_bytes(png(1500, 1000, lambda x, y: (x % 256, y % 256, 7)))
+    (tmp_path / "small.png").write_bytes(png(30, 30, lambda x, y: (x, y, 7)))
+    images = spark.read.format("image").load(str(tmp_path)).select("image.*")
+    out = photos.measured(photos.checked(images))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ArrowEvalPython" in plan
+    got = out.collect()
+    gray = lambda x, y: sum(w * v for w, v in zip((0.299, 0.587, 0.114), (4 * x % 256, 4 * y % 256, 7))) / 255
+    blur, light, background = measures(375, 250, gray)
+    assert len(got) == 1 and got[0].blur == pytest.approx(blur, rel=1e-6) and got[0].brightness == pytest.approx(light, rel=1e-6) and got[0].background_ok == background
