@@ -15,6 +15,7 @@ from ..functions.sizes import small
 from ..functions.text import norm_field
 from ..plans.registry import query
 from ..sources import bindings as b
+from .front_reader import BRANDS
 
 #: Terms of where a product is used, by name.
 CONTEXT = {
@@ -70,7 +71,6 @@ OTHER = {
     "food": ("ALIMENTO", "FOOD", "BEBIDA", "BEVERAGE", "SUCO", "JUICE", "CHOCOLATE", "BISCOITO", "CEREAL", "QUEIJO", "CHEESE"),
     "cleaner": ("DETERGENTE", "DETERGENT", "DESINFETANTE", "DISINFECTANT", "AMACIANTE", "ALVEJANTE", "BLEACH"),
 }
-BRAND = ("NIVEA", "REXONA", "DOVE", "NATURA", "EUCERIN", "VICHY", "CETAPHIL", "GARNIER", "PALMOLIVE", "LUX")
 #: What each sign adds to the score, and the scores that decide.
 PRECISE, PLAIN, MORE_CATEGORIES, CONTEXTS, MORE_CONTEXTS, HAS_BRAND, HAS_PRODUCT, HAS_PRESENTATION, HAS_CAPACITY = 0.70, 0.62, 0.06, 0.07, 0.05, 0.04, 0.04, 0.02, 0.02
 PARTS, KNOWN_BRAND, SUPPORTED, MORE_SUPPORT, EXPLICIT = 0.04, 0.05, 0.04, 0.03, 0.07
@@ -81,7 +81,7 @@ WORDS, NEAR_FROM, FAR_FROM = 5, 7, 12
 
 def known_terms(spark) -> DataFrame:
     """The default table of terms."""
-    named = {"CONTEXT": CONTEXT, "STRUCTURE": STRUCTURE, "SUPPORT": SUPPORT, "OTHER": OTHER, "UI": UI, "FORM": FORM, "FORMULA": {w: (w,) for w in FORMULA}, "BRAND": {w: (w,) for w in BRAND}}
+    named = {"CONTEXT": CONTEXT, "STRUCTURE": STRUCTURE, "SUPPORT": SUPPORT, "OTHER": OTHER, "UI": UI, "FORM": FORM, "FORMULA": {w: (w,) for w in FORMULA}, "BRAND": {w: (w,) for w in BRANDS}}
     rows = [(kind, name, False, a) for kind, groups in named.items() for name, aliases in groups.items() for a in aliases]
     rows += [("CATEGORY", name, precise, a) for name, (precise, aliases) in CATEGORY.items() for a in aliases]
     return spark.createDataFrame(rows, "kind string, name string, precise boolean, alias string")

@@ -40,6 +40,20 @@ GOES_ON = (
 FORMS = ("SPRAY", "AEROSOL", "ROLL ON", "ROLLON", "BASTAO", "CREME", "LOCAO", "GEL", "LIQUIDO", "ESPUMA", "SABONETE", "OLEO", "SERUM", "BALM", "POMADA")
 BETWEEN = ("E", "Y", "AND", "DE", "DO", "DA", "EM", "PARA", "POR")
 DESCRIPTORS = {"ANTITRANSPIRANTE": "^ANTITRANSPIRAN(T|TE|I)?$", "ANTIPERSPIRANTE": "^ANTIPERSPIRAN(T|TE|I)?$"}
+#: Words of products that tell none apart, and the lengths of phrases that do.
+GENERIC = (
+    "PROTECAO", "PROTECTION", "PROTECCAO", "PROTECCION", "SECA", "SECO", "LONG", "LASTING", "PROLONGADA", "PROLONGADO", "PROLONGED", "DRY", "PERFUME", "PERFUMACAO", "MASCULINO", "FEMININO",
+    "ADULTO", "INFANTIL", "SPRAY", "AEROSOL", "CREME", "LOCAO", "GEL", "ESPUMA",
+)
+NO_START, NO_WORD = ("E", "Y", "AND", "DE", "DA", "DO", "PARA", "POR"), ("E", "Y", "AND", "DE", "DA", "DO")
+PHRASE_LINE, LEAST_PHRASE, MOST_PHRASE, DISTINCTIVE = 70, 2, 5, 2
+#: Known brands.
+BRANDS = (
+    "CERAVE", "LA ROCHE POSAY", "LAROCHEPOSAY", "EUCERIN", "VICHY", "LOLA COSMETICS", "LOLA", "SKALA", "NATURA", "O BOTICARIO", "OBOTICARIO", "NIVEA", "NEUTROGENA", "SKINCEUTICALS", "KERASTASE",
+    "PANTENE", "GRANADO", "RISQUE", "VULT", "MAYBELLINE", "DERMACYD", "REXONA", "DOVE", "CETAPHIL", "BIOSSANCE", "THE BODY SHOP", "EUDORA", "CICLO COSMETICOS", "AVENE", "BIODERMA", "LACTRE",
+    "PAYOT", "TRUSS", "WELLA", "LOREAL", "GARNIER", "ELSEVE", "ELSEV", "HEAD SHOULDERS", "CLEAR", "TRESEMME", "JOHNSONS", "JOHNSON JOHNSON", "MAMAE BABY", "MONANGE", "HERBAL ESSENCES",
+    "SALON LINE", "SALONLINE", "EMBELLEZE", "NOVEX", "BIO EXTRATUS", "BIOEXTRATUS", "INOAR", "KANECHOM", "DARROW", "ADCOS", "EPIDU", "PROTEX", "LUX", "PALMOLIVE",
+)
 #: Sizes and strengths.
 CAPACITY = "\\b\\d+(?:[.,]\\d+)?\\s*(?:ML|KG|GR|G|L)\\b"
 SMUDGED = "\\b[A-Z]\\d+(?:[.,]\\d+)?\\s*(?:ML|KG|GR|G)\\b"
@@ -99,7 +113,7 @@ def read(lines: DataFrame) -> DataFrame:
     return lines.select("scan_id", "line", norm_front(F.col("text")).alias("n")).where("n != ''")
 
 
-def brands(lines: DataFrame, known: tuple[str, ...] = (), references: tuple[str, ...] = ()) -> DataFrame:
+def brands(lines: DataFrame, known: tuple[str, ...] = BRANDS, references: tuple[str, ...] = ()) -> DataFrame:
     """(scan_id, place, brand): each different brand candidate in order, the first known one before all others."""
     by_line = Window.partitionBy("scan_id").orderBy("line")
     seen = read(lines).withColumn("at", F.row_number().over(by_line) - 1).withColumn("next", F.lead("n", 1).over(by_line)).withColumn("third", F.lead("n", 2).over(by_line))
@@ -115,8 +129,17 @@ def brands(lines: DataFrame, known: tuple[str, ...] = (), references: tuple[str,
     return ranked.select("scan_id", (F.row_number().over(Window.partitionBy("scan_id").orderBy("rank", "at")) - 1).alias("place"), "brand")
 
 
+def phrase_of(n: Column) -> Column:
+    """A line without its numbers, if it is a phrase of some words that tells a product apart; else null."""
+    plain = without_numbers(n)
+    w = words_of(plain)
+    telling = F.filter(w, lambda x: (F.length(x) >= 3) & ~x.isin(*NO_WORD, *NOISE, *GENERIC))
+    fits = (F.length(n) <= PHRASE_LINE) & ~noise_line(n) & ~n.rlike("^[0-9]+$") & F.size(w).between(LEAST_PHRASE, MOST_PHRASE) & ~F.get(w, F.lit(0)).isin(*NO_START) & (F.size(telling) >= DISTINCTIVE)
+    return F.when(fits & (F.length(plain) <= PRODUCT), plain)
+
+
 def products(lines: DataFrame) -> DataFrame:
-    """(scan_id, place, product): the different words that may name the product, in reading order."""
+    """(scan_id, place, product): the different words and, behind the words of their line, phrases that may name the product, in reading order."""
     seen = read(lines)
     sized, ounces = F.col("n").rlike(f"{CAPACITY}|{SMUDGED}"), F.col("n").rlike(OUNCES)
     w = F.col("w")
@@ -124,11 +147,13 @@ def products(lines: DataFrame) -> DataFrame:
     named = F.when(w.rlike(DESCRIPTORS["ANTITRANSPIRANTE"]), "ANTITRANSPIRANTE").when(w.rlike(DESCRIPTORS["ANTIPERSPIRANTE"]), "ANTIPERSPIRANTE").otherwise(w)
     size = w.rlike("^\\d+([.,]\\d+)?(ML|GR|KG|G|L|FLOZ)$") | (F.col("sized") & w.rlike("^[A-Z]\\d+([.,]\\d+)?$")) | (F.col("ounces") & w.rlike("^[0-9.,]+$")) | w.rlike("^[0-9]+$")
     kept = w.rlike("^\\d{1,3}H$|^(FPS|SPF)\\d{1,3}$") | ((F.length("w") >= 3) & ~w.isin(*NOISE) & ~w.isin(*BETWEEN) & (F.length("w") <= PRODUCT))
-    each = said.where(~size & kept).groupBy("scan_id", named.alias("product")).agg(F.min(F.struct("line", "at")).alias("first"))
+    word = said.where(~size & kept).select("scan_id", "line", "at", named.alias("product"))
+    phrase = seen.select("scan_id", "line", F.size(words_of(F.col("n"))).alias("at"), phrase_of(F.col("n")).alias("product")).where("product is not null")
+    each = word.unionByName(phrase).groupBy("scan_id", "product").agg(F.min(F.struct("line", "at")).alias("first"))
     return each.select("scan_id", (F.row_number().over(Window.partitionBy("scan_id").orderBy("first")) - 1).alias("place"), "product")
 
 
-def front(lines: DataFrame, known: tuple[str, ...] = (), references: tuple[str, ...] = ()) -> DataFrame:
+def front(lines: DataFrame, known: tuple[str, ...] = BRANDS, references: tuple[str, ...] = ()) -> DataFrame:
     """(scan_id, brands, products, forms, capacity) of each label: lists in order, and the first size."""
     listed = lambda df, c, name: df.groupBy("scan_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", c))), lambda x: x[c]).alias(name))
     n = read(lines)
@@ -179,16 +204,51 @@ def ext_front_brand(spark, sf_dir):
     return found.select("scan_id", F.array_join("brands", ",").alias("brands"))
 
 
-_PRODUCTS = f"CASE {_K} WHEN 0 THEN 'NAVEOS,MEN,SECRET,SPRAY,PELE' WHEN 1 THEN 'BODY,REXOLA,ANTITRANSPIRANTE,48H,PELE' WHEN 2 THEN 'MODO,USO,CLINOQ,BEAUTY,LAB' ELSE 'HORAS,DOVERA,DRY,CREME,PELE' END"
+def product_lines(spark, sf_dir) -> DataFrame:
+    """The lines of fronts, then the part's name, its ends with its maker, and a line of advice."""
+    p = b.table(spark, sf_dir, "part")
+    more = ("p_name", "concat(split(p_name, ' ')[0], ' e ', p_brand)", "concat(p_type, ' ', p_size, 'ML')", "concat('Manter fora ', p_name)")
+    return p.select(F.col("p_partkey").alias("scan_id"), F.posexplode(F.array(*map(F.expr, (*_LINES, *more)))).alias("line", "text"))
+
 
+def _any_of(words: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
-@query(f"SELECT p_partkey AS scan_id, {_PRODUCTS} AS products FROM part")
+
+def _gone(x: str) -> str:
+    for pattern in (CAPACITY, SMUDGED, OUNCES, STRENGTH):
+        x = f"regexp_replace({x}, '{pattern}', ' ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({x}, '{HOURS}', '\\1H', 'g'), '\\s+', ' ', 'g'))"
+
+
+_PRODUCTS = f"""WITH l AS (
+  SELECT p_partkey AS scan_id, unnest(range(0, 8)) AS line, unnest([{", ".join(_LINES)}, p_name, split_part(p_name, ' ', 1) || ' e ' || p_brand, p_type || ' ' || p_size || 'ML', 'Manter fora ' || p_name]) AS text FROM part
+), x AS (
+  SELECT scan_id, line, regexp_replace(trim(regexp_replace(regexp_replace(upper(strip_accents(text)), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), '\\b(\\d{{{{1,3}}}}) H\\b', '\\1H', 'g') AS n FROM l
+), w AS (
+  SELECT scan_id, line, i, ws[i] AS w, regexp_matches(n, '{CAPACITY}|{SMUDGED}') AS sized, regexp_matches(n, '{OUNCES}') AS ounces FROM (SELECT *, string_split(n, ' ') AS ws, unnest(range(1, len(string_split(n, ' ')) + 1)) AS i FROM x)
+), p AS (
+  SELECT scan_id, line, {_gone("n")} AS t, n FROM x WHERE length(n) <= {PHRASE_LINE} AND NOT regexp_matches(n, '{"|".join(NOISE_PHRASES)}') AND NOT regexp_matches(n, '^[0-9]+$')
+), c AS (
+  SELECT scan_id, line, i, CASE WHEN regexp_matches(w, '^ANTITRANSPIRAN(T|TE|I)?$') THEN 'ANTITRANSPIRANTE' WHEN regexp_matches(w, '^ANTIPERSPIRAN(T|TE|I)?$') THEN 'ANTIPERSPIRANTE' ELSE w END AS product FROM w
+  WHERE NOT (regexp_matches(w, '^\\d+([.,]\\d+)?(ML|GR|KG|G|L|FLOZ)$') OR (sized AND regexp_matches(w, '^[A-Z]\\d+([.,]\\d+)?$')) OR (ounces AND regexp_matches(w, '^[0-9.,]+$')) OR regexp_matches(w, '^[0-9]+$'))
+    AND (regexp_matches(w, '^\\d{{{{1,3}}}}H$|^(FPS|SPF)\\d{{{{1,3}}}}$') OR (length(w) BETWEEN 3 AND {PRODUCT} AND w NOT IN {_any_of(NOISE)} AND w NOT IN {_any_of(BETWEEN)}))
+  UNION ALL
+  SELECT scan_id, line, 1000, t FROM p WHERE length(t) <= {PRODUCT} AND len(string_split(t, ' ')) BETWEEN {LEAST_PHRASE} AND {MOST_PHRASE} AND split_part(t, ' ', 1) NOT IN {_any_of(NO_START)}
+    AND len(list_filter(string_split(t, ' '), lambda v: length(v) >= 3 AND v NOT IN {_any_of((*NO_WORD, *NOISE, *GENERIC))})) >= {DISTINCTIVE}
+), f AS (SELECT scan_id, product, min(line * 10000 + i) AS first FROM c GROUP BY scan_id, product)
+SELECT scan_id, string_agg(product, ',' ORDER BY first) AS products FROM f GROUP BY scan_id""".replace("{{", "{").replace("}}", "}")
+
+
+@query(_PRODUCTS)
 def ext_front_product(spark, sf_dir):
-    return front(front_lines(spark, sf_dir)).select("scan_id", F.array_join("products", ",").alias("products"))
+    found = products(product_lines(spark, sf_dir))
+    return found.groupBy("scan_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "product"))), lambda x: x["product"]), ",").alias("products"))
 
 
 @query(
-    f"""SELECT p_partkey AS scan_id, {_BRANDS} AS brands, {_PRODUCTS} AS products, CASE {_K} WHEN 0 THEN 'SPRAY' WHEN 3 THEN 'CREME' ELSE '' END AS forms, CASE {_K} WHEN 0 THEN p_size || 'ML' WHEN 1 THEN '150 ML' ELSE '' END AS capacity FROM part"""
+    f"""SELECT p_partkey AS scan_id, {_BRANDS} AS brands, CASE {_K} WHEN 0 THEN 'NAVEOS,MEN,NAVEOS MEN ' || p_size || ',SECRET,SPRAY,PELE' WHEN 1 THEN 'BODY,REXOLA,ANTITRANSPIRANTE,48H,ANTITRANSPIRANT 48H,PELE'
+WHEN 2 THEN 'MODO,USO,CLINOQ,BEAUTY,LAB' ELSE 'HORAS,DOVERA,DRY,CREME,PELE' END AS products, CASE {_K} WHEN 0 THEN 'SPRAY' WHEN 3 THEN 'CREME' ELSE '' END AS forms, CASE {_K} WHEN 0 THEN p_size || 'ML' WHEN 1 THEN '150 ML' ELSE '' END AS capacity FROM part"""
 )
 def ext_front(spark, sf_dir):
     found = front(front_lines(spark, sf_dir), known=("REXOLA",))

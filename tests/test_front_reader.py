@@ -6,7 +6,7 @@ from shelfwise.operators import front_reader as reader
 from shelfwise.operators import online
 
 
-def front(spark, *texts, known=(), references=()):
+def front(spark, *texts, known=reader.BRANDS, references=()):
     lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "scan_id int, line int, text string")
     return reader.front(lines, known, references).collect()[0]
 
@@ -33,7 +33,29 @@ def test_what_is_no_brand(spark):
 
 
 def test_products(spark):
-    assert front(spark, "creme de maos E pes", "100g A50", "FPS30 protege", "creme").products == ["CREME", "MAOS", "PES", "FPS30", "PROTEGE"]
+    assert front(spark, "creme de maos E pes", "100g A50", "FPS30 protege", "creme").products == ["CREME", "MAOS", "PES", "CREME DE MAOS E PES", "FPS30", "PROTEGE", "FPS30 PROTEGE"]
+
+
+def test_labels_of_known_brands(spark):
+    r = front(
+        spark, "aixa", "F 2a sér", "20 Goog", "Veriu,", "NOVA/NUEVA FORMULA", "drogaraia.com.br/_next/image?url=https%3A%2F%2Fproduct-data.rai", "Rexona", "CONTROLE", "INTELIGENTE", "DE ODORE SUOR", "INVISIBLE",
+        "72h", "ANTITRANSPIRANTE AEROSOL MEN", "150 ml",
+    )
+    assert r.brands[0] == "REXONA" and "AIXA" in r.brands
+    dove = front(spark, "DOVE", "GO FRESH", "CREME HIDRATANTE", "AROMA FLOR DE LOTUS", "150 ML")
+    assert dove.brands[0] == "DOVE" and "AROMA FLOR DE LOTUS" in dove.products and any("FRESH" in p for p in dove.products)
+    rexona = front(spark, "REXONA", "CLINICAL", "CLEAN MEN", "ANTITRANSPIRANTE", "58 G")
+    assert rexona.brands[0] == "REXONA" and "CLINICAL" in rexona.products and "CLEAN MEN" in rexona.products
+    cerave = front(spark, "CeraVe", "ESPUMA CREMOSA", "LIMPEZA HIDRATANTE", "236 ML")
+    assert "CERAVE" in cerave.brands and "LIMPEZA HIDRATANTE" in cerave.products
+    clinical = front(
+        spark, "MEN", "Rexona", "clinical", "3x", "MÁS PROTECCIÓN* /", "MAIS PROTEÇÃO*", "CLEAN", "96H", "ANTITRANSPIRANTE", "EN CREMA/EM CREME", "CONT. NETO /", "PESO LÍQ. 58 G"
+    )
+    assert clinical.brands[0] == "REXONA" and {"CLINICAL", "CLEAN", "MEN"} <= set(clinical.products) and clinical.capacity == "58 G"
+
+
+def test_fixed_tables():
+    assert len(reader.BRANDS) == len(set(reader.BRANDS)) == 60 and len(reader.GENERIC) == 24
 
 
 def test_online(spark):
