@@ -1,7 +1,7 @@
 """Pairs of strings that can be alike, met by equi-joins: nothing is compared with everything.
 
 Two strings whose edit distance is at most d have in common all but 2 d of their pairs of neighbouring letters, so with all
-pairs in one order, rare ones first, they share one of their first 2 d + 1. A string within another has its first four
+pairs in one order, those of rare letters first, they share one of their first 2 d + 1. A string within another has its first four
 letters among the other's runs of four.
 """
 
@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def pairs_of_letters(s: Column) -> Column:
@@ -19,20 +18,25 @@ def pairs_of_letters(s: Column) -> Column:
     return F.get(F.transform(F.array(two), numbered), F.lit(0))
 
 
-def _first(strings: DataFrame, known: DataFrame, low: float) -> DataFrame:
-    """(s, g): the rarest pairs of letters of each string, as many as strings of similarity `low` to it need."""
-    edits = F.floor((1 - low) * F.length("s") / low + 1e-9)
-    each = strings.select("s", F.explode(pairs_of_letters(F.col("s"))).alias("g")).join(known, "g", "left")
-    place = F.row_number().over(Window.partitionBy("s").orderBy(F.coalesce("f", F.lit(0)), "g"))
-    return each.withColumn("place", place).where(F.col("place") <= 2 * edits + 1).select("s", "g")
+#: Letters from rare to frequent: pairs with rare letters come first in the order that all strings share.
+_RARE = "ZQJXKVBPGWYFMCULDHRSNIOATE"
+
+
+def first_pairs(s: Column, low: float) -> Column:
+    """The first pairs of letters of a string, as many as strings of similarity `low` to it need."""
+    edits = F.floor((1 - low) * F.length(s) / low + 1e-9).cast("int")
+    ordered = F.sort_array(F.transform(pairs_of_letters(s), lambda g: F.translate(g, _RARE, "".join(chr(ord("A") + i) for i in range(26)))))
+    return F.slice(ordered, 1, 2 * edits + 1)
 
 
 def can_be_alike(left: DataFrame, right: DataFrame, low: float) -> DataFrame:
-    """(s, t): of different strings of left (s) and right (t) all pairs whose edit distance is at most (1 - low) of the longer one, and some more."""
-    known = right.select(F.explode(pairs_of_letters(F.col("t"))).alias("g")).groupBy("g").agg(F.count("*").alias("f"))
-    a, b = _first(left, known, low), _first(right.withColumnRenamed("t", "s"), known, low).withColumnRenamed("s", "t")
-    least = low * F.greatest(F.length("s"), F.length("t")) - 1e-9
-    return a.join(b, "g").where(F.least(F.length("s"), F.length("t")) >= least).select("s", "t").distinct()
+    """(s, t): of different strings of left (s) and right (t) all pairs whose edit distance is at most (1 - low) of the longer one, and some more.
+
+    The order of pairs is the same for all strings and known beforehand, so each string's first pairs are an expression of its own.
+    """
+    a = left.select("s", F.length("s").alias("n"), F.explode(first_pairs(F.col("s"), low)).alias("g"))
+    b = right.select("t", F.length("t").alias("m"), F.explode(first_pairs(F.col("t"), low)).alias("g"))
+    return a.join(b, "g").where(F.least("n", "m") >= low * F.greatest("n", "m") - 1e-9).select("s", "t").distinct()
 
 
 def holds(left: DataFrame, right: DataFrame, least: int = 4) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.text import char_similarity, norm_ingredient_key
 from ..plans.registry import query
 from ..sources import bindings as b
+from ..sources.kept import kept
 from .blocking import can_be_alike
 
 #: Ingredient names that are known without a catalogue.
@@ -110,17 +111,19 @@ def fuzzy(keys: DataFrame, index: DataFrame) -> DataFrame:
 
 def resolved(names: DataFrame, ingredients: DataFrame, aliases: DataFrame) -> DataFrame:
     """(scan_id, position, raw, key, method, status, resolution, confidence, ids) of each name of a scan."""
-    index = index_of(ingredients, aliases)
+    index = kept(index_of(ingredients, aliases), "index")
     named = names.withColumn("key", norm_ingredient_key(F.col("raw")))
     keys = named.select("key").distinct().where(~administrative(F.col("key")))
     first = exact(keys, index).select("key", "ids", F.concat(F.lit("EXACT_"), "source").alias("method"), F.col("source"), F.lit(0.0).alias("c"))
-    rest = keys.join(first.select("key"), "key", "left_anti")
+    # each step's answers are written with the keys that it leaves open
+    first = kept(keys.join(first, "key", "left"), "exact")
+    rest = first.where("ids is null").select("key")
     fixed = corrected(rest).where("fixed != key")
     variant = exact(fixed.select(F.col("fixed").alias("key")).distinct(), index).withColumnRenamed("key", "fixed").join(fixed, "fixed")
     variant = variant.select("key", "ids", F.lit("OCR_VARIANT").alias("method"), "source", F.lit(0.96).alias("c"))
-    left = rest.join(variant.select("key"), "key", "left_anti")
-    third = fuzzy(left, index).select("key", "ids", F.when(F.col("close"), "FUZZY_AMBIGUOUS").otherwise(F.concat(F.lit("FUZZY_"), "source")).alias("method"), "source", F.col("best").alias("c"))
-    known = first.unionByName(variant).unionByName(third)
+    variant = kept(rest.join(variant, "key", "left"), "variants")
+    third = fuzzy(variant.where("ids is null").select("key"), index).select("key", "ids", F.when(F.col("close"), "FUZZY_AMBIGUOUS").otherwise(F.concat(F.lit("FUZZY_"), "source")).alias("method"), "source", F.col("best").alias("c"))
+    known = first.where("ids is not null").unionByName(variant.where("ids is not null")).unionByName(third)
     out = named.join(known, "key", "left")
     noise = administrative(F.col("key"))
     method = F.when(noise, "ADMINISTRATIVE_NOISE").when(F.col("method").isNotNull(), F.col("method")).when(F.length("key") < 5, "SHORT_TOKEN").otherwise("NO_CANDIDATE")

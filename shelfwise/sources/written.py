@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,21 +9,9 @@ from ..operators import reconcile
 from ..plans.registry import query
 from . import bindings as b
 from . import stored, tables
+from .kept import folder
 from .pages import CAP, SIZE
 
-_local: dict[str, str] = {}
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir; only a local master may take one of its own."""
-    shared, app = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.applicationId
-    if not shared:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = _local.setdefault(app, tempfile.mkdtemp(prefix="shelfwise-stored-"))
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     """SELECT 'products' AS collection, (p_partkey - 1) // 500 AS page, p_partkey AS id, p_name AS name FROM part
 UNION ALL SELECT 'customers', (c_custkey - 1) // 500, c_custkey, c_name FROM customer UNION ALL SELECT 'suppliers', (s_suppkey - 1) // 500, s_suppkey, s_name FROM supplier"""
