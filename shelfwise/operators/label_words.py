@@ -91,3 +91,18 @@ def any_of(words: tuple[str, ...]) -> str:
     """A pattern for any of the words as whole words, longer ones first."""
     ordered = sorted(set(words), key=lambda w: (-len(w), w))
     return "(?<![A-Z0-9])(?:" + "|".join(re.escape(w).replace("\\ ", " ").replace("\\-", "-") for w in ordered) + ")(?![A-Z0-9])"
+#: Words before an importer's or a distributor's name, well-known companies, and what ends a company's name.
+IMPORTERS = ("IMPORTADO POR", "IMPORTADOR", "IMPORTADO", "IMPORTED BY", "IMPORTED", "IMPORTADORA")
+DISTRIBUTORS = ("DISTRIBUIDO POR", "DISTRIBUIDORA", "DISTRIBUTOR", "DISTRIBUTED BY")
+CORPORATE = (
+    "UNILEVER", "LOREAL", "L OREAL", "PROCTER", "COLGATE", "PALMOLIVE", "NIVEA", "BEIERSDORF", "JOHNSON", "RECKITT", "HENKEL", "KENVUE", "LVMH", "ESTEE LAUDER", "THE BODY SHOP", "NATURA",
+    "BOTICARIO", "GRANADO", "CETAPHIL", "CERAVE", "EUCERIN", "DOVE", "REVLON", "MAYBELLINE", "RIMMEL", "COTY", "SHISEIDO",
+)
+NAME_ENDS = (
+    " CNPJ", " CEP", " SAC", " AUTFUNC", " AUT FUNC", " REGISTRO", " LOTE", " CONTEUDO", " IMPORTADO POR", " IMPORTADO", " DISTRIBUIDO POR", " DISTRIBUIDORA", " INDUSTRIA BRASILEIRA",
+    " PAIS DE ORIGEM", " WWW.", " HTTP", " AVENIDA", " RUA", " CALLE", " CARRERA", " PISO",
+)
+ABROAD = ("VITACURA", "MUNRO", "TEPALCAPA", "TULTITLAN", "ESTADO DE MEXICO")
+FREE_CALL = r"(?<!\d)(?:0800|0300) ?\d{3,4}[ .-]?\d{4}(?!\d)"
+#: How far an importer's and a distributor's zone reach before and behind a line, and the lengths of names.
+IMPORT_ZONE, DISTRIBUTION_ZONE, LEAST_NAME, MOST_NAME, LEAST_LETTERS, COUNTRY_LINE = (5, 1), (3, 1), 5, 150, 6, 60
