@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import CAPACITY_UNITS, WEAK_TERMS, clean_candidates, identity_tokens, ngrams, norm_field, ocr_similarity, ocr_variants, strip_brand, tokens
 from ..plans.registry import query
 from ..sources import bindings as b
+from ..sources.kept import kept
 from .blocking import can_be_alike, holds
 from .catalog import catalog
 
@@ -133,12 +135,19 @@ def alike_words(seen: DataFrame, known: DataFrame) -> DataFrame:
 def brands_of(fronts: DataFrame, items: DataFrame) -> DataFrame:
     """(scan_id, brand, cand, score, second): the brand that any brand candidate names, or else any product candidate.
 
-    Each distinct candidate is compared once with each distinct brand: a dimension of the catalogue, one row a brand.
+    A reading of a candidate is as like a brand as BRAND asks only if it is nearly equal to it, one holds the other, or they
+    have a word that is nearly the same, so candidates and brands meet by these; then each pair is weighed once.
     """
     dimension = items.select(norm_field(F.col("brand_name")).alias("brand"), "ord").where("brand != ''").groupBy("brand").agg(F.min("ord").alias("b"))
     stages = F.posexplode(F.array("brands", "products")).alias("stage", "c")
     said = fronts.select("scan_id", stages).select("scan_id", "stage", F.posexplode("c").alias("p", "cand"))
-    pairs = said.select("cand").distinct().join(dimension, F.lit(True)).withColumn("score", ocr_similarity(F.col("cand"), F.col("brand"), brand=True)).where(F.col("score") >= BRAND)
+    read = said.select("cand").distinct().select("cand", F.explode(F.filter(ocr_variants(norm_field(F.col("cand"))), lambda v: v != "")).alias("s"))
+    own, known = read.select("s").distinct(), dimension.select(F.col("brand").alias("t"))
+    word, other = own.select("s", F.explode(tokens(F.col("s"))).alias("v")), known.select("t", F.explode(tokens(F.col("t"))).alias("w"))
+    same = can_be_alike(word.select(F.col("v").alias("s")).distinct(), other.select(F.col("w").alias("t")).distinct(), NEAR_WORD).toDF("v", "w")
+    by_word = word.join(same, "v").join(other, "w").select("s", "t").unionByName(word.join(other, F.col("v") == F.col("w")).select("s", "t"))
+    met = can_be_alike(own, known, BRAND).unionByName(holds(own, known)).unionByName(by_word)
+    pairs = read.join(met, "s").select("cand", F.col("t").alias("brand")).distinct().join(dimension, "brand").withColumn("score", ocr_similarity(F.col("cand"), F.col("brand"), brand=True)).where(F.col("score") >= BRAND)
     rows = said.join(pairs, "cand").groupBy("scan_id", "stage").agg(F.array_sort(F.collect_list(F.struct("p", "b", "brand", "cand", "score"))).alias("r"))
     return rows.groupBy("scan_id").agg(F.min_by("r", "stage").alias("r")).select("scan_id", best_brand(F.col("r")).alias("m")).select("scan_id", "m.*")
 
@@ -153,13 +162,15 @@ def scored(fronts: DataFrame, items: DataFrame, brands: DataFrame) -> DataFrame:
     asked = fronts.select("scan_id", "products").join(brands.select("scan_id", "brand"), "scan_id", "left")
     clean = F.array_distinct(F.filter(F.transform("products", lambda p: strip_brand(p, F.coalesce("brand", F.lit("")))), lambda p: p != ""))
     asked = asked.select("scan_id", "brand", clean.alias("cands")).where(F.size(strong_terms(F.col("cands"))) > 0).withColumn("cid", F.xxhash64("brand", "cands"))
+    asked = kept(asked, "asked")
     sets = asked.select("cid", "brand", "cands").distinct()
     named = items.select("id", "ord", norm_field(F.col("brand_name")).alias("own"), norm_field(F.col("name")).alias("full")).where("full != ''")
     names = named.select("own", "full").distinct()
     seen = sets.select("cid", F.explode(F.array_distinct(F.flatten(F.transform("cands", tokens)))).alias("o"))
     words = names.select("own", "full", F.explode(F.array_union(tokens(F.col("full")), tokens(strip_brand(F.col("full"), F.col("own"))))).alias("t"))
+    words = kept(words, "words")
     near = alike_words(seen.select("o").distinct(), words.select("t").distinct())
-    alike = seen.join(near, "o")
+    alike = kept(seen.join(near, "o"), "alike")
     known = alike.groupBy("cid").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("o", F.lit("|"), "t"), "s"))).alias("known"))
     met = alike.select("cid", "t").distinct().join(words, "t").select("cid", "own", "full").distinct()
     pairs = met.join(sets, "cid").where(F.col("brand").isNull() | (F.col("own") == F.col("brand")))
@@ -173,7 +184,7 @@ def scored(fronts: DataFrame, items: DataFrame, brands: DataFrame) -> DataFrame:
 def resolved(fronts: DataFrame, items: DataFrame) -> DataFrame:
     """(scan_id, status, id, score, gap) of every scan; `fronts` is (scan_id, brand_candidates, product_candidates)."""
     clean = fronts.select("scan_id", clean_candidates(F.col("brand_candidates"), 4).alias("brands"), clean_candidates(F.col("product_candidates"), 3).alias("products"))
-    brands = brands_of(clean, items)
+    brands = kept(brands_of(clean, items), "brands")
     rows = scored(clean, items, brands).groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "score", "strong", "exact"))).alias("r"))
     found = rows.select("scan_id", best_product(F.col("r")).alias("p")).select("scan_id", "p.*")
     out = clean.select("scan_id").join(brands.withColumnsRenamed({"score": "b_score", "second": "b_second"}), "scan_id", "left").join(found, "scan_id", "left")
@@ -224,9 +235,10 @@ def fuzzy_brand(spark, sf_dir):
 
 @query()
 def fuzzy_product(spark, sf_dir):
-    """Evidence of each product that a scan may show; products of other brands don't count."""
+    """The best product that a scan may show and the next one; products of other brands don't count."""
     front, items = _cleaned(spark, sf_dir), branded(spark, sf_dir)
-    return scored(front, items, brands_of(front, items))
+    place = F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("score"), F.desc("exact"), "ord", "id"))
+    return scored(front, items, kept(brands_of(front, items), "brands")).withColumn("place", place).where("place <= 2")
 
 
 @query()
