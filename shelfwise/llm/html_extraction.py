@@ -9,8 +9,10 @@ taken, and without one nothing is deleted.
 
 Differencing alone can't give right results: a footer or advert whose words differ from page to page is shared with no
 neighbour. So of the lines that it leaves, those go that their elements, roles, classes or ids name as menus, headers,
-footers, sidebars, notices, adverts, forms or comments of readers; and a page that marks an article consists of its marked
-lines.
+footers, sidebars, notices, adverts, forms or comments of readers. Headings are never named so, ids count on sections and
+lists only, and within an article only sections named as comments, shares or adverts go. Marks only protect: what else
+differencing leaves of a page stays with its article. A page with nothing to be differenced against consists of its marked
+lines, if it has any.
 
 Defined cases: a null html or url is empty; a page without neighbours of other content on its host loses no shared lines;
 a tie between neighbours goes to the one before; repeated rows are pages of their own; unclosed and stray tags close with
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 from .url_filters import split_url
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
@@ -50,6 +52,10 @@ WHOLE = frozenset("header masthead page-header site-header side-bar top-bar".spl
 #: First words of names that say how a page is laid out.
 LAYOUT = frozenset("has with no is without".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Elements that ids name, headings, and what names drop within an article.
+SECTIONS = frozenset("div section aside ul ol".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+WITHIN = COMMENTS | frozenset("share sharing social ad ads advert adverts advertisement advertisements advertising sponsored sponsor promo promotion newsletter related recommended".split())
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -73,9 +79,9 @@ def _dropped(tag: str, rest: str, marked: bool) -> str | None:
     if rest and tag not in ("html", "body", "main") and ("class" in rest or "id" in rest or "role" in rest or "hidden" in rest):
         for m in ATTRIBUTE.finditer(rest):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id"):
+            if name in ("class", "id") and tag not in HEADINGS and (tag in SECTIONS or not marked and name == "class" or tag == "article"):
                 why = _named(value)
-                if why and (tag != "article" or why in COMMENTS) and not (marked and why in WHOLE):
+                if why and (why in COMMENTS if tag == "article" else why in WITHIN if marked else True):
                     return why
             if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 return "role"
@@ -198,16 +204,16 @@ def common_lines(a: list, b: list) -> np.ndarray:
 def own_lines(lines: list, others: list[list]) -> list[int]:
     """The numbers of a page's (name, kind) lines that differencing against its neighbours, the nearest first, leaves."""
     left = range(len(lines))
-    kept = [i for i in left if lines[i][1] != DROP]
+    kept, differenced = [i for i in left if lines[i][1] != DROP], False
     for other in others:
         hit = common_lines([t for t, _ in lines], [t for t, _ in other])
         some = [i for i in left if lines[i][1] == ARTICLE or not hit[i]]
         own = [i for i in some if lines[i][1] != DROP]
         if own or not kept:
-            kept = own
+            kept, differenced = own, True
             break
     article = [i for i in kept if lines[i][1] == ARTICLE]
-    return article or kept
+    return kept if differenced else article or kept
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -218,13 +224,13 @@ def extracted(pages: DataFrame) -> DataFrame:
     def read(batches):
         for pdf in batches:
             lines = [lines_of(x) for x in pdf["html"]]
-            article = [" ".join(t for t, k in x if k == ARTICLE) if any(k == ARTICLE for _, k in x) else None for x in lines]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "path": pdf["path"], "article": article, "texts": [[t for t, _ in x] for x in lines], "kinds": [bytes(k for _, k in x) for x in lines]})
+            marked = [any(k == ARTICLE for _, k in x) for x in lines]
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "path": pdf["path"], "marked": marked, "texts": [[t for t, _ in x] for x in lines], "kinds": [bytes(k for _, k in x) for x in lines]})
 
     host, path = split_url(pages["url"])
     rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(pages["html"], F.lit("")).alias("html"))
-    found = rows.mapInPandas(read, f"page_id {kind}, url string, host string, path string, article string, texts array<string>, kinds binary")
-    found = found.withColumn("names", F.transform("texts", lambda t: F.xxhash64(t))).withColumn("texts", F.when(F.col("article").isNull(), F.col("texts")))
+    found = rows.mapInPandas(read, f"page_id {kind}, url string, host string, path string, marked boolean, texts array<string>, kinds binary")
+    found = found.withColumn("names", F.transform("texts", lambda t: F.xxhash64(t)))
     found = materialize(found.withColumns({"c1": F.xxhash64("names", "kinds"), "c2": F.xxhash64(F.lit(1), "names", "kinds")}), "page_lines")
     first = F.min(F.struct("path", F.col("page_id").isNull().alias("none"), "page_id")).alias("at")
     contents = found.groupBy(*content).agg(first, F.first(F.struct("names", "kinds")).alias("lines"))
@@ -238,12 +244,16 @@ def extracted(pages: DataFrame) -> DataFrame:
         pairs = lambda x: list(zip(x["names"], x["kinds"]))
         for pdf in batches:
             keep = [own_lines(pairs(x), [pairs(o) for o in others if isinstance(o, dict)]) for x, *others in zip(pdf["lines"], pdf["a"], pdf["b"])]
-            yield pd.DataFrame({"host": pdf["host"], "c1": pdf["c1"], "c2": pdf["c2"], "keep": keep})
-
-    kept = both.select(*content, "lines", "a", "b").mapInPandas(leave, "host string, c1 bigint, c2 bigint, keep array<int>")
-    marked = found.where("article is not null").select("page_id", "url", F.col("article").alias("text"))
-    # a marked page's own lines are its article, whatever its neighbours share
-    other = found.where("article is null").select("page_id", "url", "texts", *content).join(kept, content)
+            plain = [bool(k) and k == [i for i, kind in enumerate(x["kinds"]) if kind == ARTICLE] for k, x in zip(keep, pdf["lines"])]
+            yield pd.DataFrame({"host": pdf["host"], "c1": pdf["c1"], "c2": pdf["c2"], "keep": keep, "plain": plain})
+
+    kept = both.select(*content, "lines", "a", "b").mapInPandas(leave, "host string, c1 bigint, c2 bigint, keep array<int>, plain boolean")
+    kept = materialize(kept, "page_keeps")
+    # of what comes out as marked, texts needn't meet their numbers
+    decided = kept.where("not plain")
+    article = F.array_join(F.filter("texts", lambda t, i: F.substr("kinds", i + 1, F.lit(1)) == F.lit(bytes([ARTICLE]))), " ")
+    marked = found.where("marked").join(small(decided.select(*content)), content, "left_anti").select("page_id", "url", article.alias("text"))
+    other = found.select("page_id", "url", "texts", *content).join(decided, content)
     other = other.select("page_id", "url", F.array_join(F.transform("keep", lambda i: F.get("texts", i)), " ").alias("text"))
     return marked.unionByName(other).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 

@@ -225,6 +225,19 @@ def test_differencing_decides(spark):
     assert got[20] == "Marked" and got[21] == "List" and got[30] == got[31] == "Acme Alone All rights"
 
 
+def test_marks_only_protect(spark):
+    """Within an article headings, paragraphs and boxes stay whatever they are called; what differencing leaves beside an article stays too."""
+    body = '<article><h2 id="form">Form</h2><p id="comment">Comment on policy</p><div class="menu"><p>Recipe menu</p></div><div class="share-bar">Share</div><div class="comments">No</div><p class="notice">Heed</p></article>'
+    rows = [(1, "http://one.com/1", page(body), 1, 2)]
+    beside = lambda i: page(f"<div>Site</div><article><p>Same in all</p><p>Story {i}</p></article><div>Read on {i}</div><div>All rights</div>")
+    rows += [(10 + i, f"http://many.com/{i}", beside(i), 1, 2) for i in range(3)]
+    rows += [(20 + i, f"http://teaser.com/{i}", page(f"<article>Teaser</article><div>Whole text {i}</div>"), 1, 2) for i in range(2)]
+    got = {r.page_id: r.text for r in html_extraction.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[1] == "Form Comment on policy Recipe menu Heed"
+    assert [got[10 + i] for i in range(3)] == [f"Same in all Story {i} Read on {i}" for i in range(3)]
+    assert [got[20 + i] for i in range(2)] == [f"Teaser Whole text {i}" for i in range(2)]
+
+
 def own_by_hand(lines, others):
     """Text of a page by plain longest common subsequences, over (text, kind) lines."""
 
