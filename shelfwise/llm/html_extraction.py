@@ -88,6 +88,8 @@ def _dropped(tag: str, rest: str, marked: bool) -> str | None:
     return None
 
 
+#: Lists of lines to keep go to all tasks up to so many pages.
+MOST_KEPT = 10_000
 #: Kinds of lines: in the page's article, in something to drop, and all others.
 ARTICLE, DROP, OTHER = 1, 2, 0
 
@@ -230,7 +232,9 @@ def extracted(pages: DataFrame) -> DataFrame:
     host, path = split_url(pages["url"])
     rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(pages["html"], F.lit("")).alias("html"))
     found = rows.mapInPandas(read, f"page_id {kind}, url string, host string, path string, marked boolean, texts array<string>, kinds binary")
-    found = found.withColumn("names", F.transform("texts", lambda t: F.xxhash64(t)))
+    # what is dropped in any case serves as names only
+    gone = lambda i: F.substr("kinds", i + 1, F.lit(1)) == F.lit(bytes([DROP]))
+    found = found.withColumn("names", F.transform("texts", lambda t: F.xxhash64(t))).withColumn("texts", F.transform("texts", lambda t, i: F.when(gone(i), F.lit("")).otherwise(t)))
     found = materialize(found.withColumns({"c1": F.xxhash64("names", "kinds"), "c2": F.xxhash64(F.lit(1), "names", "kinds")}), "page_lines")
     first = F.min(F.struct("path", F.col("page_id").isNull().alias("none"), "page_id")).alias("at")
     contents = found.groupBy(*content).agg(first, F.first(F.struct("names", "kinds")).alias("lines"))
@@ -251,9 +255,10 @@ def extracted(pages: DataFrame) -> DataFrame:
     kept = materialize(kept, "page_keeps")
     # of what comes out as marked, texts needn't meet their numbers
     decided = kept.where("not plain")
+    n = decided.count()
     article = F.array_join(F.filter("texts", lambda t, i: F.substr("kinds", i + 1, F.lit(1)) == F.lit(bytes([ARTICLE]))), " ")
-    marked = found.where("marked").join(small(decided.select(*content)), content, "left_anti").select("page_id", "url", article.alias("text"))
-    other = found.select("page_id", "url", "texts", *content).join(decided, content)
+    marked = found.where("marked").join(small(decided.select(*content), n), content, "left_anti").select("page_id", "url", article.alias("text"))
+    other = found.select("page_id", "url", "texts", *content).join(small(decided, n, MOST_KEPT), content)
     other = other.select("page_id", "url", F.array_join(F.transform("keep", lambda i: F.get("texts", i)), " ").alias("text"))
     return marked.unionByName(other).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
