@@ -8,8 +8,8 @@ nothing but menus and the like were left, the pair is two versions of one page:
 taken, and without one nothing is deleted.
 
 Differencing alone can't give right results: a footer or advert whose words differ from page to page is shared with no
-neighbour. So of the lines that it leaves, those go that their elements, roles, classes or ids name as menus, headers,
-footers, sidebars, notices, adverts, forms or comments of readers. Headings are never named so, ids count on sections and
+neighbour. So those lines go before it that their elements, roles, classes or ids name as menus, headers, footers,
+sidebars, notices, adverts, forms or comments of readers. Headings are never named so, ids count on sections and
 lists only, and within an article only sections named as comments, shares or adverts go. Marks only protect: what else
 differencing leaves of a page stays with its article. A page with nothing to be differenced against consists of its marked
 lines, if it has any.
@@ -225,16 +225,15 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def read(batches):
         for pdf in batches:
-            lines = [lines_of(x) for x in pdf["html"]]
+            # what its elements name as no text of the page goes at once; the rest is differenced
+            lines = [[(t, k) for t, k in lines_of(x) if k != DROP] for x in pdf["html"]]
             marked = [any(k == ARTICLE for _, k in x) for x in lines]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "path": pdf["path"], "marked": marked, "texts": [[t for t, _ in x] for x in lines], "kinds": [bytes(k for _, k in x) for x in lines]})
 
     host, path = split_url(pages["url"])
     rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(pages["html"], F.lit("")).alias("html"))
     found = rows.mapInPandas(read, f"page_id {kind}, url string, host string, path string, marked boolean, texts array<string>, kinds binary")
-    # what is dropped in any case serves as names only
-    gone = lambda i: F.substr("kinds", i + 1, F.lit(1)) == F.lit(bytes([DROP]))
-    found = found.withColumn("names", F.transform("texts", lambda t: F.xxhash64(t))).withColumn("texts", F.transform("texts", lambda t, i: F.when(gone(i), F.lit("")).otherwise(t)))
+    found = found.withColumn("names", F.transform("texts", lambda t: F.xxhash64(t)))
     found = materialize(found.withColumns({"c1": F.xxhash64("names", "kinds"), "c2": F.xxhash64(F.lit(1), "names", "kinds")}), "page_lines")
     first = F.min(F.struct("path", F.col("page_id").isNull().alias("none"), "page_id")).alias("at")
     contents = found.groupBy(*content).agg(first, F.first(F.struct("names", "kinds")).alias("lines"))
