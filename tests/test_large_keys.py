@@ -33,3 +33,11 @@ def test_first_photo(spark, tmp_path):
     lines = {"l_orderkey": [2_500_000, 7, 9, 8], "l_partkey": [1, 1, 2, 2], "l_linenumber": pa.array([1, 3, 7, None], pa.int32()), "l_returnflag": ["A"] * 4}
     got, want = both(spark, tmp_path, "agg_first_photo", lineitem=lines)
     assert got == want == [(1, 7), (2, 9)]
+
+
+ORDERS = [1, 150_000, 2_162_162, 2_162_163, 3_173_686, 3_174_785, 30_000_000]
+
+
+def test_ean_checksum(spark, tmp_path):
+    got, want = both(spark, tmp_path, "fn_ean_checksum", orders={"o_orderkey": ORDERS})
+    assert got == want and (3_173_686, True) in got
