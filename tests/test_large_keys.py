@@ -41,3 +41,8 @@ ORDERS = [1, 150_000, 2_162_162, 2_162_163, 3_173_686, 3_174_785, 30_000_000]
 def test_ean_checksum(spark, tmp_path):
     got, want = both(spark, tmp_path, "fn_ean_checksum", orders={"o_orderkey": ORDERS})
     assert got == want and (3_173_686, True) in got
+
+
+def test_barcode(spark, tmp_path):
+    got, want = both(spark, tmp_path, "ext_barcode", orders={"o_orderkey": ORDERS})
+    assert got == want and (3_174_785, "137467045") in got
