@@ -10,7 +10,7 @@ from ..plans.registry import query
 from . import bindings as b
 from . import stored, tables
 from .kept import folder
-from .pages import CAP, SIZE
+from .pages import SIZE
 
 @query(
     """SELECT 'products' AS collection, (p_partkey - 1) // 500 AS page, p_partkey AS id, p_name AS name FROM part
@@ -26,15 +26,17 @@ def src_rest_list(spark, sf_dir):
     return read.select("collection", F.col("page").cast("bigint").alias("page"), "x.id", "x.name")
 
 
-@query("SELECT key, id, page FROM (SELECT o_orderpriority AS key, o_orderkey AS id, ((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) - 1) // 5)::INT AS page FROM orders) WHERE page < 20")
+@query("SELECT o_custkey AS key, o_orderkey AS id, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1) // 5)::INT AS page FROM orders")
 def src_rest_paged(spark, sf_dir):
-    """The newest orders of each priority in pages of SIZE, stored and read page by page until the last one or the cap."""
-    w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_orderdate"), "o_orderkey")
-    rows = b.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("collection"), (F.row_number().over(w) - 1).cast("long").alias("n"), F.to_json(F.struct(F.col("o_orderkey").alias("id"))).alias("item"))
-    # the service is never asked for pages beyond the cap, so none but the next one is stored
-    stored.store_pages(rows.where(F.col("n") < SIZE * (CAP + 1)), path := folder(spark, "paged"), SIZE)
-    read = stored.read_until(stored.stored_pages(spark, path), F.col("last") | (F.col("size") < SIZE))
-    return read.select(F.col("collection").alias("key"), F.from_json("item", "id bigint")["id"].alias("id"), "page")
+    """All orders of each customer, the newest first, in pages of SIZE: stored as responses, a line each, and read page by page until the last one."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.col("o_orderkey").asc_nulls_last())
+    rows = b.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.struct(F.row_number().over(w).alias("n"), F.struct(F.col("o_orderkey").alias("id")).alias("x")).alias("item"))
+    pages = rows.groupBy("key", F.expr(f"(item.n - 1) div {SIZE}").cast("int").alias("page")).agg(F.transform(F.sort_array(F.collect_list("item")), lambda i: i["x"]).alias("content"))
+    pages = pages.withColumn("last", F.col("page") == F.max("page").over(Window.partitionBy("key")))
+    pages.write.json(path := folder(spark, "paged"))
+    stored_ = spark.read.schema("key bigint, page int, content array<struct<id:bigint>>, last boolean").json(path)
+    stop = F.min(F.when(F.col("last") | (F.size("content") < SIZE), F.col("page"))).over(Window.partitionBy("key"))
+    return stored_.withColumn("stop", stop).where("page <= stop").select("key", F.inline("content"), "page")
 
 
 @query("SELECT doc_id AS id, 'WAITING_UPLOAD' AS state, sha256(coalesce(text, '')) AS digest, true AS whole FROM documents")

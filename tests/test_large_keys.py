@@ -18,7 +18,7 @@ def both(spark, folder, name, **tables):
     got = library.QUERIES[name](spark, str(folder))
     want = con.execute(library.ORACLES[name])
     names = [d[0] for d in want.description]
-    return sorted(tuple(r) for r in got.select(*names).collect()), sorted(want.fetchall())
+    return sorted((tuple(r) for r in got.select(*names).collect()), key=str), sorted(want.fetchall(), key=str)
 
 
 LINES = {"l_orderkey": [1, 1, 1, 1, 2], "l_partkey": [3, 1_500_000, 4, 1_500_000, 5], "l_linenumber": pa.array([2, 1, 1, 3, 1], pa.int32()), "l_returnflag": ["R"] * 5}
@@ -46,3 +46,10 @@ def test_ean_checksum(spark, tmp_path):
 def test_barcode(spark, tmp_path):
     got, want = both(spark, tmp_path, "ext_barcode", orders={"o_orderkey": ORDERS})
     assert got == want and (3_174_785, "137467045") in got
+
+
+def test_all_pages_are_read(spark, tmp_path):
+    """Customers of over twenty pages, none of which is left out."""
+    orders = {"o_custkey": [1] * 123 + [2] * 5 + [None] * 6, "o_orderkey": list(range(134)), "o_orderdate": [k % 9 for k in range(134)], "o_orderpriority": ["1-URGENT"] * 134}
+    got, want = both(spark, tmp_path, "src_rest_paged", orders=orders)
+    assert got == want and len(got) == 134 and max(r[2] for r in got) == 24
