@@ -152,3 +152,10 @@ def test_two_columns(spark):
     names = [(r.name, r.status) for r in reader.ingredients(found.where("scan_id = 0")).orderBy("position").collect()]
     assert names == [("ALOE BARBADENSIS LEAF EXTRACT (EXTRATO DA FOLHA)", "UNRESOLVED"), ("AQUA (AGUA)", "UNRESOLVED")]
     assert [r.name for r in reader.ingredients(found.where("scan_id = 1")).orderBy("position").collect()] == ["AQUA", "PARFUM", "BUTANE", "PROPANE"]
+
+
+def test_columns_are_not_sent_through_the_driver(spark):
+    from shelfwise.plans import library
+
+    plan = library.QUERIES["ext_ingredient_columns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
