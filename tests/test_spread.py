@@ -47,3 +47,14 @@ def test_positions_need_one_shuffle(spark):
 
     plan = library.QUERIES["sort_composition"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
+
+
+def test_effects_are_dealt_by_person(spark):
+    from shelfwise.operators import match
+
+    few, many = (match.effects(spark, "/root/testdata/sf0.001", most) for most in (200_000, 0))
+    for e in (few, many):
+        # what is grouped by person needs no further shuffle
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (e, e.groupBy("person", "slug").count())]
+        assert plans[0].count("Exchange SinglePartition") == plans[1].count("Exchange SinglePartition") > 0 and plans[0].count("Exchange ") == plans[1].count("Exchange ")
+    assert few.exceptAll(many).isEmpty() and few.count() == many.count()
