@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import norm_front
+from ..functions.text import norm_front, once
 from ..plans.registry import query
 from ..sources import bindings as b
 
@@ -110,7 +110,7 @@ def goes_on(n: Column) -> Column:
 
 
 def read(lines: DataFrame) -> DataFrame:
-    return lines.select("scan_id", "line", norm_front(F.col("text")).alias("n")).where("n != ''")
+    return once(lines, "n", norm_front(F.col("text"))).select("scan_id", "line", "n").where("n != ''")
 
 
 def brands(lines: DataFrame, known: tuple[str, ...] = BRANDS, references: tuple[str, ...] = ()) -> DataFrame:
@@ -129,9 +129,8 @@ def brands(lines: DataFrame, known: tuple[str, ...] = BRANDS, references: tuple[
     return ranked.select("scan_id", (F.row_number().over(Window.partitionBy("scan_id").orderBy("rank", "at")) - 1).alias("place"), "brand")
 
 
-def phrase_of(n: Column) -> Column:
-    """A line without its numbers, if it is a phrase of some words that tells a product apart; else null."""
-    plain = without_numbers(n)
+def phrase_of(n: Column, plain: Column) -> Column:
+    """A line without its numbers (`plain`), if it is a phrase of some words that tells a product apart; else null."""
     w = words_of(plain)
     telling = F.filter(w, lambda x: (F.length(x) >= 3) & ~x.isin(*NO_WORD, *NOISE, *GENERIC))
     fits = (F.length(n) <= PHRASE_LINE) & ~noise_line(n) & ~n.rlike("^[0-9]+$") & F.size(w).between(LEAST_PHRASE, MOST_PHRASE) & ~F.get(w, F.lit(0)).isin(*NO_START) & (F.size(telling) >= DISTINCTIVE)
@@ -140,16 +139,18 @@ def phrase_of(n: Column) -> Column:
 
 def products(lines: DataFrame) -> DataFrame:
     """(scan_id, place, product): the different words and, behind the words of their line, phrases that may name the product, in reading order."""
-    seen = read(lines)
-    sized, ounces = F.col("n").rlike(f"{CAPACITY}|{SMUDGED}"), F.col("n").rlike(OUNCES)
-    w = F.col("w")
-    said = seen.select("scan_id", "line", sized.alias("sized"), ounces.alias("ounces"), F.posexplode(words_of(F.col("n"))).alias("at", "w"))
+    n, w = F.col("n"), F.col("w")
+    seen = once(read(lines), "plain", without_numbers(n)).withColumn("words", F.split("n", " "))
+    # one row a word, and one more behind them for the phrase
+    said = seen.select("scan_id", "line", n.rlike(f"{CAPACITY}|{SMUDGED}").alias("sized"), n.rlike(OUNCES).alias("ounces"), F.size("words").alias("last"), F.posexplode(F.concat("words", F.array(phrase_of(n, F.col("plain"))))).alias("at", "w"))
     named = F.when(w.rlike(DESCRIPTORS["ANTITRANSPIRANTE"]), "ANTITRANSPIRANTE").when(w.rlike(DESCRIPTORS["ANTIPERSPIRANTE"]), "ANTIPERSPIRANTE").otherwise(w)
     size = w.rlike("^\\d+([.,]\\d+)?(ML|GR|KG|G|L|FLOZ)$") | (F.col("sized") & w.rlike("^[A-Z]\\d+([.,]\\d+)?$")) | (F.col("ounces") & w.rlike("^[0-9.,]+$")) | w.rlike("^[0-9]+$")
     kept = w.rlike("^\\d{1,3}H$|^(FPS|SPF)\\d{1,3}$") | ((F.length("w") >= 3) & ~w.isin(*NOISE) & ~w.isin(*BETWEEN) & (F.length("w") <= PRODUCT))
-    word = said.where(~size & kept).select("scan_id", "line", "at", named.alias("product"))
-    phrase = seen.select("scan_id", "line", F.size(words_of(F.col("n"))).alias("at"), phrase_of(F.col("n")).alias("product")).where("product is not null")
-    each = word.unionByName(phrase).groupBy("scan_id", "product").agg(F.min(F.struct("line", "at")).alias("first"))
+    phrase = F.col("at") == F.col("last")
+    said = said.where(w.isNotNull() & (phrase | (~size & kept)))
+    # a place as one number, as the least of structs would sort all rows
+    place = F.shiftleft(F.col("line").cast("long"), 32) + F.col("at")
+    each = said.select("scan_id", F.when(phrase, w).otherwise(named).alias("product"), place.alias("at")).groupBy("scan_id", "product").agg(F.min("at").alias("first"))
     return each.select("scan_id", (F.row_number().over(Window.partitionBy("scan_id").orderBy("first")) - 1).alias("place"), "product")
 
 
@@ -179,7 +180,7 @@ _LINES = (
 
 
 def front_lines(spark, sf_dir) -> DataFrame:
-    p = b.spread(spark, sf_dir, "part")
+    p = b.spread(spark, sf_dir, "part", key="p_partkey")
     return p.select(F.col("p_partkey").alias("scan_id"), F.posexplode(F.array(*map(F.expr, _LINES))).alias("line", "text"))
 
 
@@ -206,7 +207,7 @@ def ext_front_brand(spark, sf_dir):
 
 def product_lines(spark, sf_dir) -> DataFrame:
     """The lines of fronts, then the part's name, its ends with its maker, and a line of advice."""
-    p = b.spread(spark, sf_dir, "part")
+    p = b.spread(spark, sf_dir, "part", key="p_partkey")
     more = ("p_name", "concat(split(p_name, ' ')[0], ' e ', p_brand)", "concat(p_type, ' ', p_size, 'ML')", "concat('Manter fora ', p_name)")
     return p.select(F.col("p_partkey").alias("scan_id"), F.posexplode(F.array(*map(F.expr, (*_LINES, *more)))).alias("line", "text"))
 

@@ -58,3 +58,20 @@ def test_effects_are_dealt_by_person(spark):
         plans = [x._jdf.queryExecution().executedPlan().toString() for x in (e, e.groupBy("person", "slug").count())]
         assert plans[0].count("Exchange SinglePartition") == plans[1].count("Exchange SinglePartition") > 0 and plans[0].count("Exchange ") == plans[1].count("Exchange ")
     assert few.exceptAll(many).isEmpty() and few.count() == many.count()
+
+
+def planned(spark, df) -> str:
+    """The optimised plan as text, with all fields."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_front_products_need_one_shuffle_and_one_reading(spark):
+    from shelfwise.plans import library
+
+    df = library.QUERIES["ext_front_product"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert planned(spark, df).count("translate(") == 1
