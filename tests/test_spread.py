@@ -75,3 +75,21 @@ def test_front_products_need_one_shuffle_and_one_reading(spark):
     df = library.QUERIES["ext_front_product"](spark, "/root/testdata/sf0.001")
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     assert planned(spark, df).count("translate(") == 1
+
+
+def test_stops_are_looked_for_once(spark):
+    from shelfwise.operators import ingredient_list, label_words
+
+    lines = spark.createDataFrame([(1, 0, "INGREDIENTES: AQUA, TALC"), (1, 1, "CITRAL, Rua das Flores 5")], "scan_id int, line int, text string")
+    for df in (ingredient_list.section(lines), ingredient_list.with_stops(ingredient_list.seen(lines), "n")):
+        assert planned(spark, df).count(label_words.TOWN) == planned(spark, df).count(label_words.CONTACTS) == 1
+    assert ingredient_list.section(lines).select("raw", "stop").first()[:] == ("AQUA, TALC CITRAL,", "RUA")
+
+
+def test_lines_are_folded_once(spark):
+    from shelfwise.operators import company, label_reader
+
+    lines = spark.createDataFrame([(1, 0, "Ação ‘x’ ")], "scan_id int, line int, text string")
+    assert planned(spark, company.read(lines)).count("\\p{M}") == planned(spark, label_reader.read(lines)).count("\\p{M}") == 1
+    assert [company.read(lines).first()["n"], label_reader.read(lines).first()["n"]] == ["ACAO 'X'", "ACAO ‘X’"]
+    assert spark.createDataFrame([("a",), (None,), ("é",)], "x string").select(text.strip_accents(F.col("x"))).collect() == [("a",), (None,), ("e",)]
