@@ -7,10 +7,14 @@ a Jaccard similarity of 0.8 a band is shared with a chance of 0.51, so all ten m
 are compared by exact Jaccard similarity of all their shingles, and linked lines are joined by distributed union-find; of
 each component the line that comes first by (doc_id, line number) stays, everything else goes.
 
-First every line is compared with one line only, that which leads most of its bands, and linked lines are joined.
-Then the bands that still hold lines of different components are taken up again: up to SMALL lines are compared pair by
+First every line is compared with one line only, that which leads most of its bands, and linked lines are joined. In TURNS
+more turns the lines of bands of more than FEW are compared with one line of each band, chosen anew, as most copies of a
+line are linked by this already. Then the bands that still hold lines of different components are taken up again: up to SMALL lines are compared pair by
 pair across components, and the lines of larger bands meet by an exact prefix filter, which loses no pair.
 
+Before texts are read, a pair must pass a bound on its similarity: each line's windows set bits in FINE longs, a bit that
+only one line has stands for a window, or more, that the other lacks. The bound is exact: no similar pair fails it.
+
 Defined cases: null texts have no lines; empty lines are always kept; lines equal after normalisation are linked without
 any band, however short; rows that repeat doc_id and text are one document and keep the same lines; doc_ids of any type
 are ordered as their type is and a null comes last; an empty table gives an empty one; extra columns may have any name.
@@ -19,6 +23,7 @@ are ordered as their type is and a null comes last; an empty table gives an empt
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +32,12 @@ from .common import SIMILAR, given_rows, let, materialize, row_key, rows_of, sma
 from .graph import connected_components
 
 CHARS = 10
-BINS, SMALL = 10, 128
+#: Lines of a band that are compared pair by pair: some 10 ns a pair by bits, against a millisecond a line of the prefix filter.
+BINS, SMALL = 10, 4096
+#: Longs of bits of a line, and the longs of all of them laid over one another, which are looked at first.
+FINE, WORDS = 64, 16
+#: How often the lines of bands of more than FEW are compared with one other line before all pairs are.
+TURNS, FEW = 3, 16
 #: Least hashes that all parts of all bins choose from.
 ENOUGH = 120
 #: Lines in a block of a large group, and how often a shingle occurs to be set behind the rarer ones.
@@ -68,7 +78,8 @@ def bands(lines: DataFrame) -> DataFrame:
     each = units.select("nid", "u", "bar", F.explode(_starts(F.col("u"))).alias("i"))
     each = each.select("nid", "bar", F.xxhash64(F.substr("u", F.col("i"), F.lit(2 * CHARS))).alias("h")).where("h <= bar")
     part = F.pmod("h", F.lit(3 * BINS)).cast("int")
-    least = each.select("nid", F.floor(part / 3).cast("int").alias("bin"), (part % 3).alias("part"), "h").groupBy("nid", "bin").agg(*[F.min(F.when(F.col("part") == k, F.col("h"))).alias(f"h{k}") for k in range(3)])
+    # the upper half of a hash orders as the whole does, and half as much is shuffled
+    least = each.select("nid", F.expr(f"cast(pmod(h, {3 * BINS}) as int) div 3").cast("int").alias("bin"), (part % 3).alias("part"), F.shiftright("h", 32).cast("int").alias("h")).groupBy("nid", "bin").agg(*[F.min(F.when(F.col("part") == k, F.col("h"))).alias(f"h{k}") for k in range(3)])
     return least.select(F.xxhash64("bin", "h0", "h1", "h2").alias("key"), "nid")
 
 
@@ -78,10 +89,51 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return base.select("rk", "d", F.posexplode(F.transform(F.split("text", "\n"), normal)).alias("line_no", "norm")).where("norm != ''")
 
 
+def _keys() -> list[Column]:
+    """A line's name: two hashes of its text."""
+    return [F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2")]
+
+
 def unique_lines(docs: DataFrame) -> DataFrame:
-    """(nid, norm, m) of the different normalised lines: a number, and how often the line stands anywhere."""
-    counted = lines_of(docs).groupBy("norm").agg(F.count("*").alias("m"))
-    return materialize(counted.select(F.monotonically_increasing_id().alias("nid"), "norm", "m"), "lines")
+    """(nid, norm, m) of the different normalised lines: a number, and how often the line stands anywhere.
+
+    Only the names of lines are shuffled: of a line that repeats, one place is chosen. (Where a row of a document repeats
+    as a whole that place comes twice; two equal lines share all bands and are linked.)
+    """
+    places = lines_of(docs).select("norm", *_keys(), F.xxhash64("rk", "line_no").alias("place"))
+    counted = places.groupBy("h1", "h2").agg(F.count("*").alias("m"), F.min("place").alias("chosen")).where("m > 1")
+    several = small(materialize(counted, "line_counts"), limit=WANTED)
+    each = places.join(several, ["h1", "h2"], "left").where("chosen is null or chosen = place")
+    return materialize(each.select(F.monotonically_increasing_id().alias("nid"), "norm", F.coalesce("m", F.lit(1)).alias("m")), "lines")
+
+
+def window_bits(lines: DataFrame) -> DataFrame:
+    """(nid, n, fine, w0, w1, ..) of `lines` (nid, norm): how many different windows a line has, the bits that they set, and these laid over one another."""
+    each = lines.select("nid", char_shingles(F.col("norm")).alias("hs")).select("nid", F.size("hs").alias("n"), F.explode("hs").alias("h"))
+    each = each.select("nid", "n", F.shiftright("h", 6).bitwiseAND(F.lit(FINE - 1)).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    bits = each.groupBy("nid", "n").agg(*[F.bit_or(F.when(F.col("w") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"x{k}") for k in range(FINE)])
+    laid = [reduce(Column.bitwiseOR, [F.col(f"x{i}") for i in range(k, FINE, WORDS)]).alias(f"w{k}") for k in range(WORDS)]
+    return bits.select("nid", "n", F.array(*[f"x{k}" for k in range(FINE)]).alias("fine"), *laid)
+
+
+def _side(bits: DataFrame, name: str) -> DataFrame:
+    """Columns of `bits` named for one side of a pair; nid becomes `name`."""
+    return bits.withColumnsRenamed({"nid": name, "c": f"c{name}"} | {x: f"{x}_{name}" for x in ("n", "fine", "keys", *[f"w{k}" for k in range(WORDS)])})
+
+
+def _possible(least: float) -> Column:
+    """Whether the lines a and b can be similar by their sizes and bits: first by the few longs, then by all."""
+    lone = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+    few = lambda x, y: reduce(Column.__add__, [lone(F.col(f"w{k}_{x}"), F.col(f"w{k}_{y}")) for k in range(WORDS)])
+    all_ = lambda x, y: F.aggregate(F.zip_with(f"fine_{x}", f"fine_{y}", lone), F.lit(0), lambda n, more: n + more)
+    wanted = least / (1 + least) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    enough = [(F.col(f"n_{x}") - lacks(x, y)) >= wanted for lacks in (few, all_) for x, y in ("ab", "ba")]
+    return reduce(Column.__and__, enough, F.least("n_a", "n_b") >= wanted)
+
+
+def _bounded(pairs: DataFrame, bits: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, ..) whose lines can be similar."""
+    return pairs.join(_side(bits, "a"), "a").join(_side(bits, "b"), "b").where(_possible(least)).select(*pairs.columns)
 
 
 def _linked(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
@@ -92,15 +144,17 @@ def _linked(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     return shared.where(F.col("n") >= least * (F.col("all") - F.col("n"))).select(*pairs.columns)
 
 
-def _across(members: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    """(a, b, ca, cb) of different components, from (key, nid, c): all pairs of small groups, and of the lines of larger ones all that can be similar."""
+def _across(members: DataFrame, lines: DataFrame, bits: DataFrame, least: float) -> DataFrame:
+    """(a, b, ca, cb) of different components that can be similar, from (key, nid, c): of the pairs of small groups, and of all lines of larger ones."""
     group = members.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     dealt = members.join(group.where("c0 != c1").drop("c0", "c1"), "key")
-    few = dealt.where(F.col("m") <= SMALL).select("key", "nid", "c")
-    pairs = few.toDF("key", "a", "ca").join(few.toDF("key", "b", "cb"), "key")
-    every = pairs.where(F.expr("a < b and ca != cb")).select("a", "b", "ca", "cb")
+    few = dealt.where(F.col("m") <= SMALL).groupBy("nid", "c").agg(F.collect_set("key").alias("keys")).join(bits, "nid")
+    few = few.select("*", F.explode("keys").alias("key"))
+    # a pair that shares several bands is taken in one of them
+    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+    every = _side(few, "a").join(_side(few, "b"), "key").where(F.expr("a < b and ca != cb") & _possible(least) & once).select("a", "b", "ca", "cb")
     large = materialize(dealt.where(F.col("m") > SMALL).select("nid", "c").distinct(), "large")
-    return every if large.isEmpty() else every.unionByName(_rest(large, lines, least))
+    return every if large.isEmpty() else every.unionByName(_bounded(_rest(large, lines, least).distinct(), bits, least)).distinct()
 
 
 def _rest(large: DataFrame, lines: DataFrame, least: float) -> DataFrame:
@@ -145,17 +199,40 @@ def components(lines: DataFrame, least: float = SIMILAR) -> DataFrame:
     members = materialize(dealt.join(live.hint("shuffle_hash"), "key"), "bands")
     held = materialize(lines.select("nid", "norm").join(small(members.select("nid").distinct(), limit=WANTED), "nid"), "line_texts")
 
+    bits = materialize(window_bits(held), "line_bits")
     shared = members.where("nid != lead").groupBy("nid", "lead").agg(F.count("*").alias("n"))
     lead = shared.groupBy("nid").agg(F.max(F.struct("n", -F.col("lead"))).alias("best")).select((-F.col("best")["col2"]).alias("a"), F.col("nid").alias("b"))
-    found = materialize(_linked(lead, held, least), "line_links")
-    joined = connected_components(found, "line_groups").withColumnsRenamed({"node": "nid", "component": "c"})
-    named = members.select("key", "nid").join(joined, "nid", "left").withColumn("c", F.coalesce("c", "nid"))
-    named = materialize(named, "named_bands")
-    more = materialize(_across(named, held, least).distinct(), "line_pairs")
-    # what the second round links are components of the first
-    across = connected_components(_linked(more, held, least).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "line_groups")
-    known = joined.join(across.withColumnRenamed("node", "c"), "c", "left").select(F.col("nid").alias("node"), F.coalesce("component", "c").alias("component"))
-    return known.unionByName(across.join(joined.select(F.col("nid").alias("node")), "node", "left_anti"))
+    found = materialize(_linked(_bounded(lead, bits, least), held, least), "line_links")
+    known = connected_components(found, "line_groups")
+    for turn in range(TURNS):
+        named = materialize(_named(members, known), "named_bands")
+        more = materialize(_linked(_bounded(_led(named, turn), bits, least), held, least), "line_links")
+        known = _merged(known, more)
+    named = materialize(_named(members, known), "named_bands")
+    more = materialize(_across(named, held, bits, least), "line_pairs")
+    return _merged(known, _linked(more, held, least))
+
+
+def _named(members: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, nid, c): the places in bands with their components so far."""
+    c = known.select(F.col("node").alias("nid"), F.col("component").alias("c"))
+    return members.select("key", "nid").join(c, "nid", "left").withColumn("c", F.coalesce("c", "nid"))
+
+
+def _led(named: DataFrame, turn: int) -> DataFrame:
+    """(a, b, ca, cb): each line of a band of many lines and several components, with one line of another component that is chosen anew each turn."""
+    group = named.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(F.struct("nid", "c"), F.xxhash64("nid", F.lit(turn))).alias("lead"))
+    led = named.join(group.where(F.col("m") > FEW).where("c0 != c1").select("key", "lead"), "key").where("c != lead.c")
+    swap = F.col("nid") < F.col("lead.nid")
+    return led.select(F.least("nid", "lead.nid").alias("a"), F.greatest("nid", "lead.nid").alias("b"), F.when(swap, F.col("c")).otherwise(F.col("lead.c")).alias("ca"), F.when(swap, F.col("lead.c")).otherwise(F.col("c")).alias("cb")).distinct()
+
+
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """`known` (node, component) after `links` (ca, cb) between its components, or lines that are in none yet."""
+    joined = known.select(F.col("node").alias("nid"), F.col("component").alias("c"))
+    across = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "line_groups")
+    both = joined.join(across.withColumnRenamed("node", "c"), "c", "left").select(F.col("nid").alias("node"), F.coalesce("component", "c").alias("component"))
+    return materialize(both.unionByName(across.join(joined.select(F.col("nid").alias("node")), "node", "left_anti")), "line_groups")
 
 
 def removed_lines(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -167,7 +244,7 @@ def removed_lines(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     lines = unique_lines(docs)
     linked = components(lines, least).withColumnsRenamed({"node": "nid"})
     known = lines.join(linked, "nid", "left").where("m > 1 or component is not null")
-    two = [F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2")]
+    two = _keys()
     flagged = materialize(known.select(*two, F.coalesce("component", "nid").alias("component")), "repeated_lines")
     places = lines_of(docs).select("rk", F.struct(F.col("d").isNull().alias("none"), "d", "line_no", "rk").alias("at"), *two)
     held = materialize(places.join(small(flagged.select("h1", "h2"), limit=WANTED), ["h1", "h2"], "left_semi"), "repeats")

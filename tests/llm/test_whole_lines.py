@@ -96,3 +96,24 @@ def test_recall_of_similar_lines(spark):
     want = expected_removed(rows)
     got = removed(spark, rows)
     assert len(want) >= 200 and sum(d in got for d in want) >= 0.99 * len(want) and set(got) <= set(want)
+
+
+def test_bits_bound_similarity(spark):
+    """The bound by bits never falls below a pair's similarity, and drops most pairs of one template before texts are read."""
+    lines = template_lines(9, 60)
+    df = spark.createDataFrame(list(enumerate(lines)), "nid bigint, norm string")
+    pairs = df.select("nid").toDF("a").crossJoin(df.select("nid").toDF("b")).where("a < b")
+    similar = {(r.a, r.b) for r in line_dedup._linked(pairs, df, 0.8).collect()}
+    possible = {(r.a, r.b) for r in line_dedup._bounded(pairs, line_dedup.window_bits(df), 0.8).collect()}
+    assert 20 < len(similar) and similar <= possible and len(possible) < len(similar) + 0.2 * pairs.count()
+
+
+def test_copies_of_one_line_leave_few_pairs(spark, monkeypatch):
+    """Near copies are linked over a few lines: what is left to compare between components doesn't grow with the square of their number."""
+    made = []
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name, of=line_dedup.materialize: made.append((name, of(df, name))) or made[-1][1])
+    rng = random.Random(12)
+    base = prose(rng, 80, 80)
+    rows = one_line_docs([edited(rng, base, 3) for _ in range(150)])
+    assert removed(spark, rows) == expected_removed(rows)
+    assert sum(df.count() for name, df in made if name == "line_pairs") < 4 * len(rows)
