@@ -32,8 +32,7 @@ from .common import SIMILAR, given_rows, let, materialize, row_key, rows_of, sma
 from .graph import connected_components
 
 CHARS = 10
-#: Lines of a band that are compared pair by pair: some 10 ns a pair by bits, against a millisecond a line of the prefix filter.
-BINS, SMALL = 10, 4096
+BINS, SMALL = 10, 128
 #: Longs of bits of a line, and the longs of all of them laid over one another, which are looked at first.
 FINE, WORDS = 64, 16
 #: How often the lines of bands of more than FEW are compared with one other line before all pairs are.
@@ -165,7 +164,8 @@ def _rest(large: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     by (shingle, class of both sizes). The first shared shingle also bounds how many can follow it. Groups are dealt in
     pairs of blocks.
     """
-    sets = large.join(lines, "nid").select("nid", "c", char_shingles(F.col("norm")).alias("hs"))
+    # a few hundred windows a line: dealt evenly before they become rows
+    sets = large.join(lines, "nid").repartition("nid").select("nid", "c", char_shingles(F.col("norm")).alias("hs"))
     held = sets.select("nid", F.size("hs").alias("n"), "c", F.explode("hs").alias("h"))
     hot = materialize(held.groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") >= HOT), "hot_shingles")
     ranked = held.join(small(hot, limit=WANTED), "h", "left").groupBy("nid", "n", "c").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "h"))).alias("o"))
