@@ -159,3 +159,19 @@ def test_columns_are_not_sent_through_the_driver(spark):
 
     plan = library.QUERIES["ext_ingredient_columns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan
+
+
+def test_columns_are_read_once_and_dealt_twice(spark):
+    from shelfwise.plans import library
+
+    df = library.QUERIES["ext_ingredient_columns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    # the labels are dealt before their words are made and once more behind the term finder; nothing is joined
+    assert df.executedPlan().toString().count("Exchange ") == 2 and "Join" not in df.optimizedPlan().toString()
+
+
+def test_columns_of_labels_with_the_same_texts(spark):
+    rows = [("INGREDIENTS", 0, 0, 130, 20, 0), ("AQUA", 0, 30, 55, 50, 1), ("AGUA", 300, 30, 355, 50, 1), ("TALC", 0, 60, 50, 80, 2), ("TALCO", 300, 60, 360, 80, 2)]
+    near = [(t, min(x, 60), y, min(x, 60) + 50, y2, r) for t, x, y, x2, y2, r in rows]
+    df = spark.createDataFrame(words(rows, near, rows), "scan_id int, row int, text string, left int, top int, right int, bottom int")
+    two, one = (True, "AQUA (AGUA), TALC (TALCO)"), (False, "AQUA AGUA TALC TALCO")
+    assert {r.scan_id: (r["columns"], r.raw) for r in reader.ingredient_columns(df, parts=3).collect()} == {0: two, 1: one, 2: two}
